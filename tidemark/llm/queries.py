@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, decontaminate, licenses, shards
 from tidemark.llm.common import table
 
 
@@ -15,6 +15,18 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_shards(spark, sf_dir):
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), byte_bpe_path())
 
@@ -26,9 +38,12 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
+    "op4_decontamination": op4_decontamination,
+    "op5_shards": op5_shards,
     "op6_bpe": op6_bpe,
 }
 if importlib.util.find_spec("corpus_pipeline"):
     QUERIES["pipeline"] = pipeline
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_license_scan": licenses.scan_sql()}
