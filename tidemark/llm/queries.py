@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 
-from tidemark.llm import bpe, decontaminate, licenses, shards
+from tidemark.llm import bpe, decontaminate, extract, licenses, shards
 from tidemark.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_bpe(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op8_extract(spark, sf_dir):
+    return extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_shards": op5_shards,
     "op6_bpe": op6_bpe,
+    "op8_extract": op8_extract,
 }
 if importlib.util.find_spec("corpus_pipeline"):
     QUERIES["pipeline"] = pipeline
