@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 
-from tidemark.llm import bpe, decontaminate, extract, licenses, shards
+from tidemark.llm import bpe, decontaminate, extract, jaccard, licenses, shards
 from tidemark.llm.common import table
 
 
@@ -15,6 +15,10 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_jaccard": op1_jaccard,
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_shards": op5_shards,
