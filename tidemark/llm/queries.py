@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 
-from tidemark.llm import bpe, decontaminate, extract, jaccard, licenses, shards
+from tidemark.llm import bpe, decontaminate, extract, jaccard, licenses, shards, toxicity
 from tidemark.llm.common import table
 
 
@@ -39,6 +39,11 @@ def op8_extract(spark, sf_dir):
     return extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op5_shards": op5_shards,
     "op6_bpe": op6_bpe,
     "op8_extract": op8_extract,
+    "op9_toxicity": op9_toxicity,
 }
 if importlib.util.find_spec("corpus_pipeline"):
     QUERIES["pipeline"] = pipeline
