@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 
-from tidemark.llm import bpe, decontaminate, extract, jaccard, licenses, shards, toxicity
+from tidemark.llm import bpe, decontaminate, extract, jaccard, licenses, lines, shards, toxicity
 from tidemark.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_bpe(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op7_lines(spark, sf_dir):
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op8_extract(spark, sf_dir):
     return extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_shards": op5_shards,
     "op6_bpe": op6_bpe,
+    "op7_lines": op7_lines,
     "op8_extract": op8_extract,
     "op9_toxicity": op9_toxicity,
 }
