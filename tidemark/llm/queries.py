@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 
-from tidemark.llm import bpe, decontaminate, extract, jaccard, licenses, lines, shards, toxicity
+from tidemark.llm import bpe, decontaminate, extract, jaccard, licenses, lines, ngrams, shards, toxicity
 from tidemark.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_jaccard(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op2_lm(spark, sf_dir):
+    return ngrams.score(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     "op1_jaccard": op1_jaccard,
+    "op2_lm": op2_lm,
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_shards": op5_shards,
