@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 
-from tidemark.llm import bpe, decontaminate, extract, jaccard, licenses, lines, ngrams, shards, toxicity
+from tidemark.llm import bpe, decontaminate, extract, jaccard, licenses, lines, media, ngrams, shards, toxicity
 from tidemark.llm.common import table
 
 
@@ -52,6 +52,11 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_media(spark, sf_dir):
+    """Copies among the lead pictures of all pages; the tables hold no pictures, so they are drawn."""
+    return media.copies(media.page_pictures(table(spark, sf_dir, "pages")), "page_id")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op7_lines": op7_lines,
     "op8_extract": op8_extract,
     "op9_toxicity": op9_toxicity,
+    "op10_media": op10_media,
 }
 if importlib.util.find_spec("corpus_pipeline"):
     QUERIES["pipeline"] = pipeline
