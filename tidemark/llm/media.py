@@ -1,9 +1,9 @@
 """Media columns (operator 10): cropped and edited copies by local image descriptors.
 
 Corners are found at several scales of each picture's grey values; round every
-corner, binary tests turned by the corner's own orientation give 128 bits. Four
-Hamming tables (32 bits each) bring pictures together: within distance 3, two
-descriptors agree in a table at least. What shares `VOTES` table entries is verified
+corner, binary tests turned by the corner's own orientation give 128 bits. Two
+Hamming tables (64 bits each) bring pictures together: at distance 1 or less, two
+descriptors agree in a table, and copies have tens of corners. What shares `VOTES` table entries is verified
 on all its corners: nearest descriptors within `NEAR` bits, of which `INLIERS` or
 more must follow one turn, scale and shift.
 
@@ -40,24 +40,33 @@ LEVELS = 3  # scales, each half of the one before
 LEAST = 24  # no scale has a shorter side
 RADIUS = 7  # of the tests round a corner
 QUALITY = 0.02  # a corner's least response, as a share of the picture's greatest
-VOTES = 2
+VOTES = 4
 NEAR = 20  # bits of 128
 INLIERS = 8
 SHIFT, TURN, ZOOM = 3.0, 0.35, 0.35  # what one motion may differ by: pixels, radians, log of the scale
 TURNS = 32
 
-KEYPOINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("zoom", "u1"), ("turn", "u1"), ("bits", "<u8", (2,))])
+# x, y: in half pixels of the picture.
+KEYPOINT = np.dtype([("x", "<u2"), ("y", "<u2"), ("zoom", "u1"), ("turn", "u1"), ("bits", "<u8", (2,))])
 HEADER = re.compile(rb"P([56])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s")
 
 
 def tests() -> np.ndarray:
-    """(TURNS, 128, 2, 2): row and column offsets of the pairs of points compared, for each turn."""
+    """(TURNS, 128, 2, 2): row and column offsets of the pairs of points compared, for each turn.
+
+    A corner's orientation points to its bright side, so points apart along it differ
+    nearly always the same way; the pairs lie across it and tell corners apart better.
+    """
     rng = np.random.default_rng(10)
-    points = rng.normal(0, RADIUS / 2, (4096, 2))
-    points = points[np.hypot(*points.T) <= RADIUS - 0.5][:256].reshape(128, 2, 2)
+    points, most = [], RADIUS - 0.5
+    while len(points) < 128:
+        p, q = rng.uniform(-most, most, (2, 2))
+        q[0] = p[0] + rng.uniform(-1, 1)
+        if max(np.hypot(*p), np.hypot(*q)) <= most and np.hypot(*(p - q)) >= 3:
+            points.append((p, q))
     angle = np.arange(TURNS) * (2 * np.pi / TURNS)
     turned = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]]).transpose(2, 0, 1)
-    return np.rint(np.einsum("tij,npj->tnpi", turned, points)).astype(np.int64)[..., ::-1]
+    return np.rint(np.einsum("tij,npj->tnpi", turned, np.array(points))).astype(np.int64)[..., ::-1]
 
 
 TESTS = tests()
@@ -131,7 +140,7 @@ def described(stack: np.ndarray) -> list[np.ndarray]:
         bits = np.packbits(values[..., 0] < values[..., 1], axis=1).view("<u8")
         own = np.zeros(len(picture), KEYPOINT)
         step = 1 << zoom
-        own["x"], own["y"], own["zoom"], own["turn"], own["bits"] = x * step + (step - 1) / 2, y * step + (step - 1) / 2, zoom, turn, bits
+        own["x"], own["y"], own["zoom"], own["turn"], own["bits"] = 2 * x * step + step - 1, 2 * y * step + step - 1, zoom, turn, bits
         found.append(own)
         owner.append(picture)
     if not found:
@@ -154,7 +163,7 @@ def inliers(a: np.ndarray, b: np.ndarray) -> int:
     turn = (q["turn"].astype(np.float64) - p["turn"]) * (2 * np.pi / TURNS)
     zoom = q["zoom"].astype(np.float64) - p["zoom"]
     motion = np.exp2(zoom) * np.exp(1j * turn)
-    here, there = p["x"] + 1j * p["y"], q["x"] + 1j * q["y"]
+    here, there = p["x"] / 2 + 0.5j * p["y"], q["x"] / 2 + 0.5j * q["y"]
     off = np.abs(there[None] - (there[:, None] + motion[:, None] * (here[None] - here[:, None])))
     near = off <= SHIFT + 0.15 * np.abs(here[None] - here[:, None]) * np.abs(motion)[:, None]
     near &= np.abs(np.angle(np.exp(1j * (turn[None] - turn[:, None])))) <= TURN
@@ -163,9 +172,8 @@ def inliers(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def table_keys(own: np.ndarray) -> np.ndarray:
-    """Distinct entries of a picture in the four Hamming tables, as 64-bit hashes."""
-    words = own["bits"].copy().view("<u4").reshape(-1, 4).astype(U)
-    return np.unique(mix(words + (np.arange(1, 5, dtype=U) << U(32))))
+    """Distinct entries of a picture in the two Hamming tables, as 64-bit hashes."""
+    return np.unique(mix(own["bits"] + np.array([1, 2], U) * U(0x9E3779B97F4A7C15)))
 
 
 def features(media: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -264,19 +272,22 @@ def copies(media: DataFrame, id_column: str = "media_id", column: str = "image",
 
 # Pictures for pages: the tables hold no media, so a page's lead picture is drawn.
 
-CANVAS, SIDE, BOXES = 112, 80, 40
+CANVAS, SIDE, BOXES, GRAIN = 112, 80, 40, 7
 VIEWS = 8
 
 
 def scene(title: bytes) -> np.ndarray:
-    """Grey boxes on a canvas, placed by the title's hash: equal titles, equal scenes."""
-    seed = U(xxhash.xxh3_64_intdigest(title))
-    draw = mix(seed + np.arange(BOXES * 5, dtype=U) * U(0x9E3779B97F4A7C15)) >> U(40)
+    """Boxes on a grained canvas, placed by the title's hash: equal titles, equal scenes."""
+    seed, steps = U(xxhash.xxh3_64_intdigest(title)), U(0x9E3779B97F4A7C15)
+    draw = mix(seed + np.arange(BOXES * 5, dtype=U) * steps) >> U(40)
     y, x, h, w, grey = draw.astype(np.int64).reshape(5, BOXES)
-    out = np.full((CANVAS, CANVAS), 128, np.uint8)
-    for a, b, c, d, g in zip((y % (CANVAS - 6)).tolist(), (x % (CANVAS - 6)).tolist(), (h % 22 + 7).tolist(), (w % 22 + 7).tolist(), (grey % 216 + 20).tolist(), strict=True):
+    out = np.full((CANVAS, CANVAS), 128, np.int16)
+    for a, b, c, d, g in zip((y % (CANVAS - 6)).tolist(), (x % (CANVAS - 6)).tolist(), (h % 22 + 7).tolist(), (w % 22 + 7).tolist(), (grey % 160 + 48).tolist(), strict=True):
         out[a : a + c, b : b + d] = g
-    return out
+    n = CANVAS // GRAIN
+    grain = (mix(~seed + np.arange(n * n, dtype=U) * steps) >> U(58)).astype(np.int16).reshape(n, 1, n, 1)
+    out.reshape(n, GRAIN, n, GRAIN)[...] += grain - 32
+    return out.astype(np.uint8)
 
 
 def view(whole: np.ndarray, kind: int) -> np.ndarray:
