@@ -40,7 +40,7 @@ LEVELS = 3  # scales, each half of the one before
 LEAST = 24  # no scale has a shorter side
 RADIUS = 7  # of the tests round a corner
 QUALITY = 0.02  # a corner's least response, as a share of the picture's greatest
-VOTES = 8  # as many as a link needs corners
+VOTES = 2
 NEAR = 20  # bits of 128
 INLIERS = 8
 SHIFT, TURN, ZOOM = 3.0, 0.35, 0.35  # what one motion may differ by: pixels, radians, log of the scale
