@@ -75,6 +75,7 @@ class Encoder:
         self.vocab, self.first, self.special = model["vocab"], model["first"], model["special"]
         self.rank = {(a << 20) | b: r for r, (a, b, _) in enumerate(model["merges"])}
         self.into = [c for _, _, c in model["merges"]]
+        self.begin = [self.rank.get((a << 20) | b, NONE) for a in self.first for b in self.first]  # by pair of bytes
         space = SPACES
         self.find = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{space}\p{{L}}\p{{N}}]").replace(r"\s+(?!\S)", rf"[{space}]+(?![^{space}])").replace(r"|\s+", rf"|[{space}]+")).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -95,15 +96,20 @@ class Encoder:
         ids = [first[b] for b in piece]
         if len(ids) > BLOCK:
             return self.merge_long(ids)
-        rank, into = self.rank.get, self.into
-        root = [rank((a << 20) | b, NONE) for a, b in pairwise(ids)]
-        while root and (low := min(root)) < NONE:
+        rank, into, begin = self.rank.get, self.into, self.begin
+        root = [begin[a << 8 | b] for a, b in pairwise(piece)]
+        last = len(root)  # place of the last id
+        while last:
+            low = min(root)
+            if low == NONE:
+                break
             i = root.index(low)
             del root[i], ids[i]
+            last -= 1
             ids[i] = new = into[low]
             if i:
                 root[i - 1] = rank((ids[i - 1] << 20) | new, NONE)
-            if i < len(root):
+            if i < last:
                 root[i] = rank((new << 20) | ids[i + 1], NONE)
         return ids
 
