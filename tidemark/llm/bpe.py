@@ -15,8 +15,10 @@ in O(n log n); repeated rows give repeated results.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+from contextlib import contextmanager
 from itertools import pairwise
 
 import pyarrow as pa
@@ -28,7 +30,7 @@ from tidemark.llm.common import binaries
 #: Fixed value: the public pre-tokenisation pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHE = 150_000  # entries of one cache generation
+CACHE = 300_000  # entries of one cache generation
 LONG = 64  # longer chunks are not remembered
 BLOCK = 48  # symbols of a piece whose pairs fit the root of the tree
 NONE = 1 << 40  # above every rank
@@ -258,6 +260,18 @@ def worker_encoder(key: str, model) -> Encoder:
     return _ENCODERS[key]
 
 
+@contextmanager
+def uncollected():
+    """Without passes of the cycle collector, which would walk the caches; encoding makes no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _texts(column: pa.Array) -> list:
     return [None if b is None else b.decode("utf-8", errors="replace") for b in binaries(column)]
 
@@ -283,7 +297,9 @@ def digest_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
     def run(batches):
         encoder = worker_encoder(key, model)
         for batch in batches:
-            n, ids, decoded = zip(*[encoder.digest(t) for t in _texts(batch.column(1))], strict=True) if batch.num_rows else ((), (), ())
+            with uncollected():
+                rows = [encoder.digest(t) for t in _texts(batch.column(1))]
+            n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_column].dataType.simpleString()
