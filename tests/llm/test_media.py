@@ -53,3 +53,28 @@ def test_colour_and_comments_are_read():
 def test_the_query_returns_every_page(spark):
     got = queries.op10_media(spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+def noisy(grey, rng, spread):
+    return np.clip(grey + rng.normal(0, spread, grey.shape), 0, 255).astype(np.uint8)
+
+
+def rescaled(grey, by):
+    at = np.clip((np.arange(int(len(grey) * by)) + 0.5) / by - 0.5, 0, len(grey) - 1)
+    low = np.minimum(at.astype(int), len(grey) - 2)
+    rest = at - low
+    rows = grey[low] * (1 - rest)[:, None] + grey[low + 1] * rest[:, None]
+    return np.rint(rows[:, low] * (1 - rest) + rows[:, low + 1] * rest).astype(np.uint8)
+
+
+def test_noisy_and_rescaled_copies_are_found_wherever_consensus_links_them(spark):
+    rng, drawn = np.random.default_rng(1), {}
+    for s in range(12):
+        whole = media.view(media.scene(b"scene %d" % s), 0)
+        for k, grey in enumerate([whole, noisy(whole, rng, 8), noisy(whole, rng, 16), rescaled(whole, 0.9), rescaled(whole, 1.15), rescaled(whole, 1.3)]):
+            drawn[50 * s + k] = grey
+    points = {k: media.described(g[None])[0] for k, g in drawn.items()}
+    got = by_id(media.copies(spark.createDataFrame([(k, media.encoded(g)) for k, g in drawn.items()], "media_id long, image binary")))
+    for q in range(0, 600, 50):
+        assert got[q]["n_found"] == sum(media.inliers(points[q], points[k]) >= media.INLIERS for k in drawn if k != q)
+    assert sum(got[q]["n_found"] for q in range(0, 600, 50)) >= 45

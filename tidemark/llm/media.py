@@ -1,17 +1,17 @@
 """Media columns (operator 10): cropped and edited copies by local image descriptors.
 
 Corners are found at several scales of each picture's grey values; round every
-corner, binary tests turned by the corner's own orientation give 128 bits. Two
-Hamming tables (64 bits each) bring pictures together: at distance 1 or less, two
-descriptors agree in a table, and copies have tens of corners. What shares `VOTES` table entries is verified
-on all its corners: nearest descriptors within `NEAR` bits, of which `INLIERS` or
-more must follow one turn, scale and shift.
+corner, binary tests turned by the corner's own orientation give 128 bits. `TABLES`
+Hamming tables of a part of the bits each are probed for all keys within `FLIPS` bits:
+of `NEAR` flipped bits, some part has no more, so every two descriptors within `NEAR`
+bits meet. Pictures of which `INLIERS` corners met as many of the other are verified:
+nearest descriptors within `NEAR` bits, of which `INLIERS` or more must follow one
+turn, scale and shift. No link is lost before that.
 
 It is a search: the pictures whose id is divisible by `EVERY` are the queries, against
-all pictures. Pictures with equal pixels form one class and are searched once. Only
-table entries that some query has leave the scan, by a bit filter of bounded size; a
-full filter lets more pass and loses nothing. There is no cap on corners, entries,
-candidates or links.
+all pictures. Pictures with equal pixels form one class and are searched once. The
+queries' tables are built in blocks of bounded size, each broadcast and run against
+all classes. There is no cap on corners, entries, candidates or links.
 
 Formats: binary PGM and PPM (P5, P6, one byte a value), decoded with numpy.
 
@@ -24,6 +24,7 @@ no rows; other columns don't matter.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -33,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import U, binaries, mix, written
-from tidemark.llm.jaccard import bit_filter, contains
 
 EVERY = 50
 LEVELS = 3  # scales, each half of the one before
 LEAST = 24  # no scale has a shorter side
 RADIUS = 7  # of the tests round a corner
 QUALITY = 0.02  # a corner's least response, as a share of the picture's greatest
-VOTES = 2
 NEAR = 20  # bits of 128
+TABLES = 7
+FLIPS = NEAR // TABLES  # bits of a table's key
+BLOCK_CORNERS = 1 << 19
+MEETINGS = 1 << 20  # compared at a time
 INLIERS = 8
 SHIFT, TURN, ZOOM = 3.0, 0.35, 0.35  # what one motion may differ by: pixels, radians, log of the scale
 TURNS = 32
@@ -171,9 +174,67 @@ def inliers(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.unique(to[near[near.sum(1).argmax()]]))
 
 
-def table_keys(own: np.ndarray) -> np.ndarray:
-    """Distinct entries of a picture in the two Hamming tables, as 64-bit hashes."""
-    return np.unique(mix(own["bits"] + np.array([1, 2], U) * U(0x9E3779B97F4A7C15)))
+class Tables:
+    """Hamming tables of the corners of a bounded block of pictures."""
+
+    def __init__(self, rows: list[tuple[int, bytes]]):
+        self.cids = [cid for cid, _ in rows]
+        each = [np.frombuffer(raw, KEYPOINT) for _, raw in rows]
+        counts = np.array([len(e) for e in each], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
+        self.points = np.concatenate([np.zeros(0, KEYPOINT), *each])
+        self.bits = np.ascontiguousarray(self.points["bits"])
+        self.tables, at = [], 0
+        for i in range(TABLES):
+            width = 128 // TABLES + (i < 128 % TABLES)
+            keys = part(self.bits, at, width)
+            offsets = np.zeros((1 << width) + 1, np.int32)
+            offsets[1:] = np.cumsum(np.bincount(keys, minlength=1 << width))
+            masks = [sum(1 << k for k in c) for n in range(FLIPS + 1) for c in itertools.combinations(range(width), n)]
+            self.tables.append((at, width, np.array(masks, np.int64), offsets, np.argsort(keys, kind="stable").astype(np.int32)))
+            at += width
+
+    def near(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(corner, corner of the block) of all pairs within NEAR bits, each once."""
+        found = [np.zeros(0, np.int64)]
+        for at, width, masks, offsets, order in self.tables:
+            keys = (part(bits, at, width)[:, None] ^ masks).ravel()
+            low = offsets[keys]
+            size = offsets[keys + 1] - low
+            some = np.flatnonzero(size)
+            low, size, corner = low[some].astype(np.int64), size[some].astype(np.int64), some // len(masks)
+            total = np.cumsum(size)
+            cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, MEETINGS)))
+            for a, b in zip(cuts, [*cuts[1:], len(size)], strict=True):
+                n = size[a:b]
+                place = order[np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                mine = np.repeat(corner[a:b], n)
+                keep = np.bitwise_count(self.bits[place] ^ bits[mine]).sum(1, dtype=np.uint8) <= NEAR
+                found.append(mine[keep] * len(self.bits) + place[keep])
+        both = np.unique(np.concatenate(found))
+        return both // max(1, len(self.bits)), both % max(1, len(self.bits))
+
+    def meet(self, each: list[np.ndarray]):
+        """(picture, picture of the block) of those of which INLIERS corners meet INLIERS corners of the other."""
+        of = np.repeat(np.arange(len(each)), [len(e) for e in each])
+        mine, theirs = self.near(np.concatenate([e["bits"] for e in each]))
+        many = len(self.cids)
+        pair, keep = of[mine] * many + self.owner[theirs], None
+        for side, n in ((mine, len(of)), (theirs, len(self.bits))):
+            named, count = np.unique(np.unique(pair * n + side) // n, return_counts=True)
+            named = named[count >= INLIERS]
+            keep = named if keep is None else np.intersect1d(keep, named)
+        yield from zip((keep // many).tolist(), (keep % many).tolist(), strict=True)
+
+
+def part(bits: np.ndarray, at: int, width: int) -> np.ndarray:
+    """`width` of the 128 bits of each descriptor, from bit `at`."""
+    word, shift = divmod(at, 64)
+    out = bits[:, word] >> U(shift)
+    if shift + width > 64:
+        out = out | bits[:, word + 1] << U(64 - shift)
+    return (out & U((1 << width) - 1)).astype(np.int64)
 
 
 def features(media: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -205,48 +266,48 @@ def features(media: DataFrame, id_column: str, column: str) -> DataFrame:
     return media.select(F.col(id_column), F.col(column)).mapInArrow(run, f"id {kind}, cid long, points binary")
 
 
-def keyed(rows: DataFrame, known=None) -> DataFrame:
-    """(key, cid) of some features; known: filter of the entries wanted."""
-
-    def run(batches):
-        bits = known.value if known is not None else None
-        for batch in batches:
-            keys, cid = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = table_keys(np.frombuffer(raw, KEYPOINT))
-                own = own if bits is None else own[contains(bits, own)]
-                keys.append(own)
-                cid.append(np.full(len(own), c, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cid))], ["key", "cid"])
-
-    return rows.where("octet_length(points) > 0").select("cid", "points").mapInArrow(run, "key long, cid long").distinct()
-
-
-def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """(query, cid, n_inliers) of the candidates that pass geometric consensus."""
-
-    def run(batches):
-        for batch in batches:
-            n = [inliers(np.frombuffer(a, KEYPOINT), np.frombuffer(b, KEYPOINT)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32())], ["query", "cid", "n_inliers"])
-            yield out.filter(pa.array([k >= INLIERS for k in n], pa.bool_()))
-
-    both = pairs.join(points.select(F.col("cid").alias("query"), F.col("points").alias("x")), "query").join(points.select("cid", F.col("points").alias("y")), "cid")
-    return both.select("query", "cid", "x", "y").mapInArrow(run, "query long, cid long, n_inliers int")
+def blocks(classes: DataFrame):
+    """Classes in blocks of a bounded number of corners; one block at a time is on the driver."""
+    held, size = [], 0
+    for cid, points in classes.toLocalIterator():
+        held.append((cid, bytes(points)))
+        size += len(points) // KEYPOINT.itemsize
+        if size >= BLOCK_CORNERS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def search(found: DataFrame, every: int = EVERY) -> DataFrame:
     """(query, cid, n_inliers): links of the query classes with other classes; found: written features."""
     spark = found.sparkSession
-    asked = found.where(f"pmod(id, {every}) = 0 and cid is not null")
-    queries = written(keyed(asked).withColumnRenamed("cid", "query"))
-    known = spark.sparkContext.broadcast(bit_filter(queries, "key", queries.count()))
-    hits = keyed(found.where("cid is not null"), known)
-    votes = queries.join(hits, "key").where("query <> cid").groupBy("query", "cid").count()
-    pairs = written(votes.where(F.col("count") >= VOTES).select("query", "cid"))
-    wanted = written(pairs.select("cid").unionAll(pairs.select("query")).distinct())
-    points = written(found.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("points").alias("points")))
-    return verified(pairs, points)
+    asks = F.max(F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False))).alias("asked")
+    rows = found.where(f"cid is not null and octet_length(points) >= {INLIERS * KEYPOINT.itemsize}")
+    classes = written(rows.groupBy("cid").agg(F.first("points").alias("points"), asks))
+    schema, out = "query long, cid long, n_inliers int", None
+    for held in blocks(classes.where("asked").select("cid", "points")):
+        shipped = spark.sparkContext.broadcast(Tables(held))
+
+        def run(batches, shipped=shipped):
+            tables = shipped.value
+            for batch in batches:
+                cids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                links = []
+                for start in range(0, len(cids), 8):
+                    each = [np.frombuffer(r, KEYPOINT) for r in raw[start : start + 8]]
+                    for k, other in tables.meet(each):
+                        if cids[start + k] != tables.cids[other]:
+                            n = inliers(tables.points[tables.starts[other] : tables.starts[other + 1]], each[k])
+                            if n >= INLIERS:
+                                links.append((tables.cids[other], cids[start + k], n))
+                columns = [pa.array([x[i] for x in links], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["query", "cid", "n_inliers"])
+
+        links = written(classes.select("cid", "points").mapInArrow(run, schema))
+        shipped.unpersist()
+        out = links if out is None else out.unionByName(links)
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def copies(media: DataFrame, id_column: str = "media_id", column: str = "image", every: int = EVERY) -> DataFrame:
@@ -272,22 +333,19 @@ def copies(media: DataFrame, id_column: str = "media_id", column: str = "image",
 
 # Pictures for pages: the tables hold no media, so a page's lead picture is drawn.
 
-CANVAS, SIDE, BOXES, GRAIN = 112, 80, 40, 4
+CANVAS, SIDE, BOXES = 112, 80, 40
 VIEWS = 8
 
 
 def scene(title: bytes) -> np.ndarray:
-    """Boxes on a grained canvas, placed by the title's hash: equal titles, equal scenes."""
-    seed, steps = U(xxhash.xxh3_64_intdigest(title)), U(0x9E3779B97F4A7C15)
-    draw = mix(seed + np.arange(BOXES * 5, dtype=U) * steps) >> U(40)
+    """Grey boxes on a canvas, placed by the title's hash: equal titles, equal scenes."""
+    seed = U(xxhash.xxh3_64_intdigest(title))
+    draw = mix(seed + np.arange(BOXES * 5, dtype=U) * U(0x9E3779B97F4A7C15)) >> U(40)
     y, x, h, w, grey = draw.astype(np.int64).reshape(5, BOXES)
-    out = np.full((CANVAS, CANVAS), 128, np.int16)
-    for a, b, c, d, g in zip((y % (CANVAS - 6)).tolist(), (x % (CANVAS - 6)).tolist(), (h % 22 + 7).tolist(), (w % 22 + 7).tolist(), (grey % 160 + 48).tolist(), strict=True):
+    out = np.full((CANVAS, CANVAS), 128, np.uint8)
+    for a, b, c, d, g in zip((y % (CANVAS - 6)).tolist(), (x % (CANVAS - 6)).tolist(), (h % 22 + 7).tolist(), (w % 22 + 7).tolist(), (grey % 216 + 20).tolist(), strict=True):
         out[a : a + c, b : b + d] = g
-    n = CANVAS // GRAIN
-    grain = (mix(~seed + np.arange(n * n, dtype=U) * steps) >> U(58)).astype(np.int16).reshape(n, 1, n, 1)
-    out.reshape(n, GRAIN, n, GRAIN)[...] += grain - 32
-    return out.astype(np.uint8)
+    return out
 
 
 def view(whole: np.ndarray, kind: int) -> np.ndarray:
