@@ -3,11 +3,14 @@
 A text's tokens become a template: numbers, names (capitalised words that don't
 begin a sentence) and units after a number turn into typed placeholders, other
 words keep their letters. Every window of `WINDOW` template tokens of a benchmark
-item is indexed by its hash; every window of every document is looked up. Hits on
-one diagonal (document position less item position) are joined to runs, the
-runs' tokens are compared one by one, and the slots must be consistent: one value
-of the item always stands for the same value in the document, and different
-values for different ones. A run of `MIN_RUN` tokens, or of the whole of a
+item is indexed by its hash; every window of every document is looked up. So are two
+more templates: one in which a capitalised word that begins a sentence is a name too
+(names come there as well), one without names, of case-folded words (capitals come
+in any text). Hits on one diagonal (document position less item position) are joined
+to runs: there a token is the item's word in any case, or a number, unit or
+capitalised word for another. The slots must be consistent: one value of the item
+always stands for the same value in the document, and different values for different
+ones. A run of `MIN_RUN` tokens, or of the whole of a
 shorter item, is a leak, whether the slots' values are the same (exact) or not.
 
 The items are a query set: they are taken in blocks of bounded size, each block
@@ -44,6 +47,7 @@ UNITS = set("""
 """.split())
 
 NUMBER, NAME, UNIT = 1, 2, 3
+TEMPLATES = 3
 CAPITAL, ENDS, DIGIT, MEASURE = 1, 2, 4, 8
 STRIP = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 NUMBER_WORD = regex.compile(r"^\p{N}[\p{N}.,:/%-]*$")
@@ -82,7 +86,10 @@ class Tokens(dict):
 
 
 def template(texts: list, tokens: Tokens):
-    """Flat ids, template hashes, slot kinds and each text's token count; tokens without letters or digits are left out."""
+    """Flat ids, word hashes, slot kinds by the three templates and each text's token count; tokens without letters or digits are left out.
+
+    Kinds of the first template: names within a sentence; of the second: names at its start too; of the third: no names.
+    """
     if len(tokens) > Tokens.LIMIT:
         tokens.__init__()
         tokens.clear()
@@ -103,26 +110,31 @@ def template(texts: list, tokens: Tokens):
     word = np.array([bool(w) for w in tokens.words], bool)[ids] if len(ids) else np.zeros(0, bool)
     doc = np.repeat(np.arange(len(texts)), counts)
     ids, own, form, begins, doc = ids[word], own[word], form[word], begins[word], doc[word]
-    kind = np.zeros(len(ids), np.uint8)
-    digit = (form & DIGIT) > 0
-    kind[((form & CAPITAL) > 0) & ~begins] = NAME
-    kind[digit] = NUMBER
+    digit, capital = (form & DIGIT) > 0, (form & CAPITAL) > 0
     after = np.zeros(len(ids), bool)
     after[1:] = digit[:-1] & (doc[1:] == doc[:-1])
-    kind[after & ((form & MEASURE) > 0)] = UNIT
-    own = np.where(kind > 0, kind.astype(U), own)
-    return ids, own, kind, np.bincount(doc, minlength=len(texts)).astype(np.int64)
+    after &= (form & MEASURE) > 0
+    kinds = np.zeros((TEMPLATES, len(ids)), np.uint8)
+    kinds[0, capital & ~begins] = NAME
+    kinds[1, capital] = NAME
+    kinds[:, digit] = NUMBER
+    kinds[:, after] = UNIT
+    return ids, own, kinds, np.bincount(doc, minlength=len(texts)).astype(np.int64)
+
 
+def mixed(own: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Hashes of the tokens of a template."""
+    return mix(np.where(kind > 0, kind.astype(U), own))
 
-def window_hashes(own: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the window that starts at each place of a flat array (the last size-1 places have none)."""
-    n = len(own) - size + 1
+
+def window_hashes(x: np.ndarray, size: int, place: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the window that starts at each place of a flat array, or at some (the last size-1 places have none)."""
+    n = len(x) - size + 1
     if n <= 0:
         return np.zeros(0, U)
-    x = mix(own)
-    total = np.zeros(n, U)
+    total = np.zeros(n if place is None else len(place), U)
     for k in range(size):
-        total = (total ^ x[k : k + n]) * U(0x9E3779B97F4A7C15)
+        total = (total ^ (x[k : k + n] if place is None else x[place + k])) * U(0x9E3779B97F4A7C15)
         total ^= total >> U(29)
     return total
 
@@ -132,49 +144,63 @@ class Index:
 
     def __init__(self, items: list[tuple[object, str]]):
         tokens = Tokens()
-        ids, own, kind, counts = template([t for _, t in items], tokens)
+        ids, own, kinds, counts = template([t for _, t in items], tokens)
         starts = np.cumsum(counts) - counts
         self.items = [i for i, _ in items]
         self.words = [[tokens.words[j] for j in ids[s : s + c]] for s, c in zip(starts, counts, strict=True)]
         self.own = [own[s : s + c] for s, c in zip(starts, counts, strict=True)]
-        self.kind = [kind[s : s + c] for s, c in zip(starts, counts, strict=True)]
-        found: dict[int, list] = {}
-        for k, (o, kinds) in enumerate(zip(self.own, self.kind, strict=True)):
+        self.kinds = [kinds[:, s : s + c] for s, c in zip(starts, counts, strict=True)]
+        found: dict[int, set] = {}
+        for k, (o, forms) in enumerate(zip(self.own, self.kinds, strict=True)):
             size = min(WINDOW, len(o))
             if size == 0:
                 continue
-            for at, h in enumerate(window_hashes(o, size)):
-                if np.count_nonzero(kinds[at : at + size] == 0) >= min(MIN_LITERALS, size):
-                    found.setdefault(size, []).append((int(h), k, at))
+            for kind in forms:
+                for at, h in enumerate(window_hashes(mixed(o, kind), size)):
+                    if np.count_nonzero(kind[at : at + size] == 0) >= min(MIN_LITERALS, size):
+                        found.setdefault(size, set()).add((int(h), k, at))
         self.sizes = {}
         for size, rows in found.items():
-            rows.sort()
+            rows = sorted(rows)
             keys = np.array([r[0] for r in rows], U)
             near = np.zeros(1 << 20, bool)
             near[(keys & U((1 << 20) - 1)).astype(np.int64)] = True
             self.sizes[size] = (keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), near)
 
-    def look_up(self, own: np.ndarray, doc: np.ndarray):
+    def look_up(self, own: np.ndarray, kinds: np.ndarray, doc: np.ndarray):
         """(place in the flat array, item, place in the item) of every window of a document that is indexed."""
+        forms = [mixed(own, kind) for kind in kinds]
+        other = [np.concatenate([[0], np.cumsum(x != forms[0])]) for x in forms[1:]]
         for size, (keys, item, at, near) in self.sizes.items():
-            h = window_hashes(own, size)
-            if not len(h):
+            n = len(own) - size + 1
+            if n <= 0:
                 continue
-            place = np.flatnonzero(near[(h & U((1 << 20) - 1)).astype(np.int64)] & (doc[: len(h)] == doc[size - 1 :]))
-            low = np.searchsorted(keys, h[place], "left")
-            high = np.searchsorted(keys, h[place], "right")
-            for p, a, b in zip(place[high > low], low[high > low], high[high > low], strict=True):
-                for j in range(a, b):
-                    yield int(p), int(item[j]), int(at[j])
+            whole = doc[:n] == doc[size - 1 :]
+            for x, differs in zip(forms, [None, *other], strict=True):
+                # Only where a window isn't the same by the first template.
+                some = None if differs is None else np.flatnonzero(whole & (differs[size:] > differs[:n]))
+                h = window_hashes(x, size, some)
+                seen = near[(h & U((1 << 20) - 1)).astype(np.int64)]
+                place = np.flatnonzero(seen & whole) if some is None else some[seen]
+                h = h[place] if some is None else h[seen]
+                low = np.searchsorted(keys, h, "left")
+                high = np.searchsorted(keys, h, "right")
+                for p, a, b in zip(place[high > low], low[high > low], high[high > low], strict=True):
+                    for j in range(a, b):
+                        yield int(p), int(item[j]), int(at[j])
 
 
 def consistent(kinds, item_words: list[str], doc_words: list[str]) -> tuple[bool, bool]:
-    """Whether slots stand for each other one to one, and whether all values are the same."""
+    """Whether slots stand for each other one to one, and whether all values are the same.
+
+    kinds: by the first and the second template. A sentence's first word is a slot
+    where the document has another one.
+    """
     there: dict = {}
     back: dict = {}
     same = True
-    for kind, a, b in zip(kinds, item_words, doc_words, strict=True):
-        if kind:
+    for within, kind, a, b in zip(*kinds[:2].tolist(), item_words, doc_words, strict=True):
+        if within or a != b:
             if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
                 return False, False
             same &= a == b
@@ -183,17 +209,19 @@ def consistent(kinds, item_words: list[str], doc_words: list[str]) -> tuple[bool
 
 def leaks_of(index: Index, texts: list, tokens: Tokens):
     """(text number, item number, tokens matched, item tokens, exact) of the leaks in some texts."""
-    ids, own, _, counts = template(texts, tokens)
+    ids, own, forms, counts = template(texts, tokens)
     doc = np.repeat(np.arange(len(texts)), counts)
     starts = np.cumsum(counts) - counts
     diagonals: dict = {}
-    for place, item, at in index.look_up(own, doc):
+    for place, item, at in index.look_up(own, forms, doc):
         diagonals.setdefault((int(doc[place]), item, place - at), []).append(at)
+    slots = forms[1]  # all that may be slots
     best: dict = {}
     for (d, item, shift), hits in diagonals.items():
-        theirs, kinds, words = index.own[item], index.kind[item], index.words[item]
+        theirs, kinds, words = index.own[item], index.kinds[item], index.words[item]
         low, high = max(0, int(starts[d]) - shift), min(len(theirs), int(starts[d] + counts[d]) - shift)
         equal = own[shift + low : shift + high] == theirs[low:high]
+        equal |= (slots[shift + low : shift + high] == kinds[1, low:high]) & (kinds[1, low:high] > 0)
         done = -1
         for at in sorted(hits):
             if at < done:
@@ -207,7 +235,7 @@ def leaks_of(index: Index, texts: list, tokens: Tokens):
             done = b
             if b - a < min(MIN_RUN, len(theirs)):
                 continue
-            ok, same = consistent(kinds[a:b], words[a:b], [tokens.words[j] for j in ids[shift + a : shift + b]])
+            ok, same = consistent(kinds[:, a:b], words[a:b], [tokens.words[j] for j in ids[shift + a : shift + b]])
             if ok:
                 best[d, item] = max(best.get((d, item), (0, False)), (b - a, same))
     return [(d, item, n, len(index.own[item]), same) for (d, item), (n, same) in best.items()]
