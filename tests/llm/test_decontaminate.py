@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+
 from tidemark.llm import decontaminate
 
 ITEM = "Maria buys 12 red apples at the market near Boston and gives 5 of them to her brother Paul before lunch."
@@ -29,3 +33,27 @@ def test_leaks_of_a_table(spark):
     docs = spark.createDataFrame([(1, ITEM.upper()), (2, "nothing of the kind"), (3, None), (4, "")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, ITEM), (8, None)], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 7)]
+
+
+def test_one_conflict_does_not_hide_the_rest_of_a_passage():
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    words[20], words[120] = "5", "5"
+    item = " ".join(words)
+    words[120] = "6"
+    assert [n for _, _, n, _, _ in found(" ".join(words), item)] == [179]
+    named = [*words[:30], "Maria", *words[30:60], "Paul", *words[60:]]
+    merged = ["Ben" if w in ("Maria", "Paul") else w for w in named]
+    assert [n for _, _, n, _, _ in found(" ".join(merged), " ".join(named))] == [len(named) - 31]
+
+
+def test_longest_consistent_part_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(2000):
+        n = rng.randrange(1, 14)
+        mine, theirs = ([rng.choice("abc") for _ in range(n)] for _ in range(2))
+        kinds = np.array([[rng.choice([0, 2]) for _ in range(n)], [2] * n])
+        sure = lambda a, b: all(
+            (mine[i] == mine[j]) == (theirs[i] == theirs[j]) for i in range(a, b) for j in range(a, b) if all(kinds[0, k] or mine[k] != theirs[k] for k in (i, j))
+        )
+        parts = [(b - a, mine[a:b] == theirs[a:b]) for a in range(n) for b in range(a + 1, n + 1) if sure(a, b)]
+        assert decontaminate.consistent(kinds, mine, theirs) == max(parts, default=(0, False))

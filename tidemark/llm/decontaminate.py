@@ -10,7 +10,7 @@ in any text). Hits on one diagonal (document position less item position) are jo
 to runs: there a token is the item's word in any case, or a number, unit or
 capitalised word for another. The slots must be consistent: one value of the item
 always stands for the same value in the document, and different values for different
-ones. A run of `MIN_RUN` tokens, or of the whole of a
+ones; of a run in which they are not, the longest part in which they are counts. A run of `MIN_RUN` tokens, or of the whole of a
 shorter item, is a leak, whether the slots' values are the same (exact) or not.
 
 The items are a query set: they are taken in blocks of bounded size, each block
@@ -190,21 +190,33 @@ class Index:
                         yield int(p), int(item[j]), int(at[j])
 
 
-def consistent(kinds, item_words: list[str], doc_words: list[str]) -> tuple[bool, bool]:
-    """Whether slots stand for each other one to one, and whether all values are the same.
+def consistent(kinds, item_words: list[str], doc_words: list[str]) -> tuple[int, bool]:
+    """Tokens of the longest part of a run in which slots stand for each other one to one, and whether all its values are the same.
 
     kinds: by the first and the second template. A sentence's first word is a slot
-    where the document has another one.
+    where the document has another one. Of parts of one length, one of the same values.
     """
     there: dict = {}
     back: dict = {}
-    same = True
-    for within, kind, a, b in zip(*kinds[:2].tolist(), item_words, doc_words, strict=True):
+    rows = list(zip(*kinds[:2].tolist(), item_words, doc_words, strict=True))
+    best, low, other = (0, False), 0, 0
+    for high, (within, kind, a, b) in enumerate(rows):
         if within or a != b:
-            if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-                return False, False
-            same &= a == b
-    return True, same
+            x, y = (kind, a), (kind, b)
+            while there.get(x, (b,))[0] != b or back.get(y, (a,))[0] != a:
+                out, form, c, d = rows[low]
+                low += 1
+                if out or c != d:
+                    other -= c != d
+                    for known, key, value in ((there, (form, c), d), (back, (form, d), c)):
+                        left = known.pop(key)[1] - 1
+                        if left:
+                            known[key] = (value, left)
+            there[x] = (b, there.get(x, (b, 0))[1] + 1)
+            back[y] = (a, back.get(y, (a, 0))[1] + 1)
+            other += a != b
+        best = max(best, (high + 1 - low, not other))
+    return best
 
 
 def leaks_of(index: Index, texts: list, tokens: Tokens):
@@ -235,9 +247,9 @@ def leaks_of(index: Index, texts: list, tokens: Tokens):
             done = b
             if b - a < min(MIN_RUN, len(theirs)):
                 continue
-            ok, same = consistent(kinds[:, a:b], words[a:b], [tokens.words[j] for j in ids[shift + a : shift + b]])
-            if ok:
-                best[d, item] = max(best.get((d, item), (0, False)), (b - a, same))
+            n, same = consistent(kinds[:, a:b], words[a:b], [tokens.words[j] for j in ids[shift + a : shift + b]])
+            if n >= min(MIN_RUN, len(theirs)):
+                best[d, item] = max(best.get((d, item), (0, False)), (n, same))
     return [(d, item, n, len(index.own[item]), same) for (d, item), (n, same) in best.items()]
 
 
