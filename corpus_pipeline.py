@@ -15,8 +15,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines near an earlier line go, and documents that lose all their words."""
-    return lines.deduplicated(docs)
+    """Lines near or equal to an earlier line go, and documents that lose all their words."""
+    return lines.deduplicated(docs, shortest=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,28 @@ def test_report_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert lines.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_equal_short_lines_go_in_query_and_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    from tidemark.llm import queries
+
+    rng = random.Random(5)
+    stock = ["".join(rng.choice("abcdef gh") for _ in range(rng.randrange(1, 29))).strip() or "e" for _ in range(25)]
+    rows = [(i, "\n".join(rng.choice([*stock, "", "  ", "\t", f"line {i}"]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    rows += [(60, rows[0][1]), (61, "And ornd.\n\n And ornd. \nAnd ornd"), (62, "And ornd."), (63, None), (64, "")]
+    seen, want = set(), {}
+    for i, text in rows:
+        kept = []
+        for raw in text.split("\n") if text else []:
+            line = raw.strip(" ")
+            if line not in seen or not line.strip():
+                kept.append(raw)
+            seen.add(line)
+        want[i] = "\n".join(kept) if text else text
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["text"] for r in queries.op7_lines(spark, str(tmp_path)).collect()} == want
+    left = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    texts = dict(rows)
+    assert {r["doc_id"] for r in left.collect()} == {i for i, t in want.items() if t == texts[i] or t.strip()}

@@ -1,8 +1,10 @@
 """Line dedup (operator 7): segment-partition edit join of lines.
 
 A line of at least `MIN_CHARS` characters (white space at its ends aside) is dropped
-where an earlier line, by (doc_id, place), is within `EDITS` edits; other lines stay.
-Equal lines are found by their hash. Distinct lines are split into EDITS + 1 segments
+where an earlier line, by (doc_id, place), is within `EDITS` edits. A shorter one, in
+which two edits can make another word of any, is dropped where an earlier line is
+equal, from a length of `shortest` characters on: 1 for the queries, so that of all
+equal lines only the first stays. Blank lines stay. Equal lines are found by their hash. Distinct lines are split into EDITS + 1 segments
 of almost equal length: of two lines within EDITS edits, one holds some segment of the
 other whole, within a few places of where it was. Every line is indexed by its
 segments and asks, for each length within EDITS, for the substrings at those places
@@ -110,10 +112,10 @@ def asked(line: str, edits: int = EDITS) -> list[int]:
     return out
 
 
-def occurrences(docs: DataFrame, text: bool) -> DataFrame:
-    """(id, pos, h1, h2[, line]) of all lines long enough."""
+def occurrences(docs: DataFrame, text: bool, shortest: int) -> DataFrame:
+    """(id, pos, h1, h2[, line]) of all lines long enough, without blank ones."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    rows = rows.select("id", "pos", F.trim("raw").alias("line")).where(F.length("line") >= MIN_CHARS)
+    rows = rows.select("id", "pos", F.trim("raw").alias("line")).where((F.length("line") >= shortest) & F.col("line").rlike(r"\S"))
     return rows.select("id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *([F.col("line")] if text else []))
 
 
@@ -169,21 +171,21 @@ def near(lines: DataFrame) -> DataFrame:
     return gone.unionAll(settled(pairs))
 
 
-def dropped(docs: DataFrame) -> DataFrame:
+def dropped(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """(id, places, n): places of the lines that go, of each document with any."""
     hashes = ["h1", "h2"]
-    first = written(occurrences(docs, True).groupBy(*hashes).agg(F.min(F.struct("id", "pos", "line")).alias("f"), F.count("*").alias("n")).select(*hashes, "f.id", "f.pos", "f.line", "n", F.monotonically_increasing_id().alias("lid")))
-    gone = near(first)
+    first = written(occurrences(docs, True, shortest).groupBy(*hashes).agg(F.min(F.struct("id", "pos", "line")).alias("f"), F.count("*").alias("n")).select(*hashes, "f.id", "f.pos", "f.line", "n", F.monotonically_increasing_id().alias("lid")))
+    gone = near(first.where(F.length("line") >= MIN_CHARS))
     lost = first.join(gone, "lid").select("id", "pos")
     repeated = first.where("n > 1").select(*hashes, F.col("id").alias("_id"), F.col("pos").alias("_pos"))
-    copies = occurrences(docs, False).join(repeated, hashes).where("id <> _id or pos <> _pos").select("id", "pos")
+    copies = occurrences(docs, False, shortest).join(repeated, hashes).where("id <> _id or pos <> _pos").select("id", "pos")
     return copies.unionAll(lost).groupBy("id").agg(F.collect_set("pos").alias("places"))  # a document's own lines at most
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """docs with text without the lines that go, and _n_lines and _n_dropped; all columns stay."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rows = docs.join(dropped(docs), key == F.col("id"), "left")
+    rows = docs.join(dropped(docs, shortest), key == F.col("id"), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("places", s["i"]))
     text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
@@ -191,15 +193,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     return counted.withColumn("text", text).select(*docs.columns, "_n_lines", "_n_dropped")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) of all documents."""
-    rows = dedup(docs.select("doc_id", "text"))
+    rows = dedup(docs.select("doc_id", "text"), shortest)
     return rows.select("doc_id", F.greatest("_n_lines", F.lit(0)).alias("n_lines"), F.greatest("_n_dropped", F.lit(0)).alias("n_dropped"), "text")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """docs with the lines left; documents that lost all their words go, n_chars is counted anew, all columns stay."""
-    rows = dedup(docs).where("_n_dropped <= 0 or trim(text) <> ''")
+    rows = dedup(docs, shortest).where((F.col("_n_dropped") <= 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         rows = rows.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -40,7 +40,7 @@ def op6_bpe(spark, sf_dir):
 
 
 def op7_lines(spark, sf_dir):
-    return lines.report(table(spark, sf_dir, "documents"))
+    return lines.report(table(spark, sf_dir, "documents"), shortest=1)
 
 
 def op8_extract(spark, sf_dir):
