@@ -78,3 +78,14 @@ def test_noisy_and_rescaled_copies_are_found_wherever_consensus_links_them(spark
     for q in range(0, 600, 50):
         assert got[q]["n_found"] == sum(media.inliers(points[q], points[k]) >= media.INLIERS for k in drawn if k != q)
     assert sum(got[q]["n_found"] for q in range(0, 600, 50)) >= 45
+
+
+def test_copies_link_without_any_query_among_them(spark):
+    ids = {(s, k): 50 * s + k + 1 for s in range(6) for k in range(media.VIEWS)}
+    drawn = {i: media.view(media.scene(b"scene %d" % s), k) for (s, k), i in ids.items()}
+    points = {i: media.described(g[None])[0] for i, g in drawn.items()}
+    got = by_id(media.copies(spark.createDataFrame([(i, media.encoded(g)) for i, g in drawn.items()], "media_id long, image binary")))
+    for (s, _), i in ids.items():
+        linked = [j for j in drawn if j != i and max(media.inliers(points[i], points[j]), media.inliers(points[j], points[i])) >= media.INLIERS]
+        assert (got[i]["n_links"], got[i]["group_id"], got[i]["n_queries"]) == (len(linked), ids[s, 0], 0)
+        assert set(linked) >= {ids[s, k] for k in range(media.VIEWS)} - {i}

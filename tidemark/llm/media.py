@@ -8,10 +8,11 @@ bits meet. Pictures of which `INLIERS` corners met as many of the other are veri
 nearest descriptors within `NEAR` bits, of which `INLIERS` or more must follow one
 turn, scale and shift. No link is lost before that.
 
-It is a search: the pictures whose id is divisible by `EVERY` are the queries, against
-all pictures. Pictures with equal pixels form one class and are searched once. The
-queries' tables are built in blocks of bounded size, each broadcast and run against
-all classes. There is no cap on corners, entries, candidates or links.
+All classes are joined with all: pictures with equal pixels form one class, classes are
+linked in pairs, and linked classes form a group. The tables are built in blocks of
+bounded size, each broadcast and run against all classes. The pictures whose id is
+divisible by `EVERY` are marked as queries, and some columns tell of links with them.
+There is no cap on corners, entries, candidates or links.
 
 Formats: binary PGM and PPM (P5, P6, one byte a value), decoded with numpy.
 
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import U, binaries, mix, written
+from tidemark.llm.jaccard import components
 
 EVERY = 50
 LEVELS = 3  # scales, each half of the one before
@@ -279,14 +281,13 @@ def blocks(classes: DataFrame):
         yield held
 
 
-def search(found: DataFrame, every: int = EVERY) -> DataFrame:
-    """(query, cid, n_inliers): links of the query classes with other classes; found: written features."""
+def search(found: DataFrame) -> DataFrame:
+    """(query, cid, n_inliers): links of all classes with others, in the directions that pass; found: written features."""
     spark = found.sparkSession
-    asks = F.max(F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False))).alias("asked")
     rows = found.where(f"cid is not null and octet_length(points) >= {INLIERS * KEYPOINT.itemsize}")
-    classes = written(rows.groupBy("cid").agg(F.first("points").alias("points"), asks))
+    classes = written(rows.groupBy("cid").agg(F.first("points").alias("points")))
     schema, out = "query long, cid long, n_inliers int", None
-    for held in blocks(classes.where("asked").select("cid", "points")):
+    for held in blocks(classes):
         shipped = spark.sparkContext.broadcast(Tables(held))
 
         def run(batches, shipped=shipped):
@@ -297,10 +298,11 @@ def search(found: DataFrame, every: int = EVERY) -> DataFrame:
                 for start in range(0, len(cids), 8):
                     each = [np.frombuffer(r, KEYPOINT) for r in raw[start : start + 8]]
                     for k, other in tables.meet(each):
-                        if cids[start + k] != tables.cids[other]:
-                            n = inliers(tables.points[tables.starts[other] : tables.starts[other + 1]], each[k])
-                            if n >= INLIERS:
-                                links.append((tables.cids[other], cids[start + k], n))
+                        a, b = cids[start + k], tables.cids[other]
+                        if a < b:  # each pair once
+                            points = tables.points[tables.starts[other] : tables.starts[other + 1]]
+                            ways = (a, b, inliers(each[k], points)), (b, a, inliers(points, each[k]))
+                            links += [way for way in ways if way[2] >= INLIERS]
                 columns = [pa.array([x[i] for x in links], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, ["query", "cid", "n_inliers"])
 
@@ -311,24 +313,31 @@ def search(found: DataFrame, every: int = EVERY) -> DataFrame:
 
 
 def copies(media: DataFrame, id_column: str = "media_id", column: str = "image", every: int = EVERY) -> DataFrame:
-    """(id, class_id, is_query, n_found, n_queries, best_query) of every picture.
+    """(id, class_id, group_id, n_links, is_query, n_found, n_queries, best_query) of every picture.
 
-    class_id: smallest id with the same pixels. n_found: other classes linked with a
+    class_id: smallest id with the same pixels. n_links: other classes linked with this
+    one, whichever of the two has the inliers; group_id: smallest id of the classes
+    linked with this one directly or over others. n_found: other classes linked with a
     query's class (null for others). n_queries: other classes with a query in them
     that link with this picture; best_query: the one with most inliers, by class_id.
     """
     found = written(features(media, id_column, column))
-    links = written(search(found, every))
+    links = written(search(found))
     members = found.groupBy("cid").agg(F.min("id").alias("class_id"), F.max(F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False))).alias("asked")).where("cid is not null")
     members = written(members)
-    named = links.join(members.select(F.col("cid").alias("query"), F.col("class_id").alias("_name")), "query")
+    named = links.join(members.where("asked").select(F.col("cid").alias("query"), F.col("class_id").alias("_name")), "query")
     by_class = named.groupBy("cid").agg(F.count("*").alias("n_queries"), F.max_by("_name", F.struct("n_inliers", -F.col("_name"))).alias("best_query"))
     by_query = links.groupBy("query").agg(F.count("*").alias("n_found")).withColumnRenamed("query", "cid")
-    classes = members.join(by_class, "cid", "left").join(by_query, "cid", "left")
+    pairs = links.select(F.least("query", "cid").alias("a"), F.greatest("query", "cid").alias("b")).distinct()
+    labels = components(pairs).withColumnRenamed("node", "cid")
+    groups = members.join(labels, "cid").groupBy("root").agg(F.min("class_id").alias("group_id"))
+    linked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
+    linked = linked.join(labels, "cid").join(groups, "root").drop("root")
+    classes = members.join(by_class, "cid", "left").join(by_query, "cid", "left").join(linked, "cid", "left")
     out = found.select("id", "cid").join(classes, "cid", "left")
     is_query = F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False))
     n_found = F.when(is_query, F.coalesce("n_found", F.lit(0)))
-    return out.select(F.col("id").alias(id_column), F.coalesce("class_id", "id").alias("class_id"), is_query.alias("is_query"), n_found.alias("n_found"), F.coalesce("n_queries", F.lit(0)).alias("n_queries"), "best_query")
+    return out.select(F.col("id").alias(id_column), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("group_id", "class_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), is_query.alias("is_query"), n_found.alias("n_found"), F.coalesce("n_queries", F.lit(0)).alias("n_queries"), "best_query")
 
 
 # Pictures for pages: the tables hold no media, so a page's lead picture is drawn.
