@@ -14,3 +14,13 @@ def test_ids_and_text_are_the_librarys():
         ids = library.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == ids
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_tree_and_scan_give_the_same_ids():
+    own = bpe.Encoder(bpe.load(byte_bpe_path()))
+    for n in range(2, bpe.BLOCK + 1):
+        for piece in (b"a" * n, (b"internationalisation" * 3)[:n]):
+            assert own.merge(piece) == own.merge_long([own.first[b] for b in piece])
+    for n in (65, 129, 257):  # a power of two of pairs
+        piece = (b"ab cd" * 60)[: n - 2] + b"he"
+        assert own.vocab[own.merge(piece)[-1]].endswith(b"he")

@@ -88,12 +88,7 @@ class Encoder:
         self.spaces = frozenset(SPACES)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece by the segment tree.
-
-        A tree node holds BLOCK children at its lowest level. A piece whose pairs fit
-        one node has that root alone: its minimum is the lowest rank, its first
-        place the leftmost pair.
-        """
+        """Ids of one piece: by a linear scan of the ranks for each merge up to BLOCK bytes, by the segment tree beyond."""
         first = self.first
         ids = [first[b] for b in piece]
         if len(ids) > BLOCK:
@@ -118,7 +113,7 @@ class Encoder:
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same with a binary tree whose root holds rank * size + position."""
         rank, into, n = self.rank.get, self.into, len(ids)
-        size = 1 << (n - 2).bit_length()
+        size = 1 << (n - 1).bit_length()  # a leaf for the last id too
         none = NONE * size
         tree = [none] * (2 * size)
         for i in range(n - 1):
