@@ -14,6 +14,9 @@ each, with its own training counts; the counts are summed by n-gram and sent bac
 each block is scored with that slice of the automaton, which holds all arcs its texts
 can take.
 
+No states or arcs are built: a token's weight comes from look-ups of the counts of its
+n-gram and context in sorted arrays, which gives the values of a walk as described.
+
 Defined results: a null or empty text is its end token alone; repeated rows count each
 time; a null doc_id is not held out; without training rows N and V are 0 and every
 token has the base probability 1; an empty table gives no rows; texts are read whole;
