@@ -22,45 +22,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session has no such setting (tests, local mode) a temporary
-    folder of this machine takes its place.
+    Where the session has no such setting, a local session (tests, benchmarks) takes
+    a temporary folder of this machine; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-shared")
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, a lost executor loses nothing."""
-    path = shared_dir(df.sparkSession)
+def written(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, a lost executor loses nothing.
+
+    The files of `spent` tables, of which df was the last reader, go, and so do the
+    shuffle files of df's own plan.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    drop_written(*spent)
+    release(spark)
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove the files behind a table made by `written`."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if not files:
-        return
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    if path.getName().startswith("tidemark-"):
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Remove the files behind tables made by `written`; others are left alone."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("tidemark-"):
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose plans are no longer referenced."""
+    """Let Spark's cleaner drop shuffle files and broadcasts whose plans are no longer referenced."""
     import gc
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case of letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column, one partial sum a task."""
     return int(df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0)

@@ -1,26 +1,30 @@
 """LM scoring (operator 2): a weighted backoff automaton over smoothed n-grams.
 
-States are contexts. The empty state has an arc for each word, with the weight
-log10((c + 0.1) / (N + 0.1 (V + 1))). A context seen in training has an arc for each
-word seen after it, weighing log10((c(context word) + m P) / (c(context) + m)) with P
-the weight, as a probability, that the next shorter context gives the word, and a
-failure arc to that shorter context, weighing log10(m / (c(context) + m)); a context
-never seen fails at no cost. Arcs and failure arcs of a state sum to one. A text is
-read once from left to right, from the state of a text's beginning to its end token.
+States are contexts of up to `ORDER` - 1 words seen in training, and the empty one. The
+empty state has an arc for each word, weighing log10((c + 0.1) / (N + 0.1 (V + 1))).
+Any other state has an arc for each word seen after its context, weighing
+log10((c(context word) + m P) / (c(context) + m)) with P what the next shorter context
+gives the word, and a failure arc to that shorter context, weighing
+log10(m / (c(context) + m)). Arcs and failure arcs of a state sum to one. An arc leads
+to the state of the longest end of what was read that is a state.
 
-The model grows with the corpus and is nowhere whole. Texts are dealt into blocks of
-about `BLOCK_BYTES` by a hash; each block asks for the n-grams that occur in it, once
-each, with its own training counts; the counts are summed by n-gram and sent back, and
-each block is scored with that slice of the automaton, which holds all arcs its texts
-can take.
+A text is read once from left to right: from the state of a text's beginning, each
+token takes the state's arc, or failure arcs until a state has one, adding up their
+weights. Many texts are walked side by side. Long texts are walked in pieces of
+`PIECE` tokens, each from the state that the tokens before it lead to, so a text's
+length doesn't matter.
 
-No states or arcs are built: a token's weight comes from look-ups of the counts of its
-n-gram and context in sorted arrays, which gives the values of a walk as described.
+The model grows with the corpus and is nowhere whole. Texts are dealt into blocks of
+about `BLOCK_BYTES` by a hash. Each block sends its n-grams' hashes, sorted, once each,
+with its own training counts to as many ranges of the hashes as the corpus asks for;
+each range sums them up and answers each block with the totals in the order they were
+asked for. The block builds the slice of the automaton that its texts can walk. Keys
+and totals travel packed in bytes, as wide as their greatest difference or value.
 
 Defined results: a null or empty text is its end token alone; repeated rows count each
 time; a null doc_id is not held out; without training rows N and V are 0 and every
 token has the base probability 1; an empty table gives no rows; texts are read whole;
-other columns don't matter.
+other columns don't matter. Rows equal in id and text share a block.
 """
 
 from __future__ import annotations
@@ -30,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U, WordHashes, binaries, bucket_count, hashed_words, mix, slices, text_bytes, written
+from tidemark.llm.common import U, WordHashes, binaries, bucket_count, hashed_words, mix, text_bytes, written
 
-ORDER = 2
+ORDER = 3
 PRIOR = 30.0  # m: how much a shorter context counts
 ADD = 0.1
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
+RANGE_BYTES = 4_000_000  # of text a range of hashes
+PIECE = 256
 END, BEGIN = U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179)
 
 
@@ -43,142 +49,287 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def token_keys(texts: list, cache: WordHashes, order: int = ORDER):
-    """(keys by length of the n-gram that ends at each token, 0 where there is none; contexts' keys; tokens a text)."""
-    flat, words = hashed_words(texts, cache)
-    counts = words + 1
-    ends = np.cumsum(counts)
-    token = np.empty(int(ends[-1]) if len(ends) else 0, U)
-    place = np.ones(len(token), bool)
-    place[ends - 1] = False
-    token[place] = flat
-    token[~place] = END
-    nth = np.arange(len(token)) - np.repeat(ends - counts, counts)  # 0 for a text's first token
-    grams, contexts = [mix(token)], [np.zeros(len(token), U)]
-    for k in range(2, order + 1):
-        context = np.empty(len(token), U)
-        # The context of one word: the word before, or the beginning; longer ones stretch to the left.
-        if k == 2:
-            context[1:] = mix(token[:-1])
-            context[nth == 0] = mix(np.array([BEGIN]))[0]
-        else:
-            context[1:] = grams[k - 2][:-1]
-            context[nth == 0] = 0
-        gram = mix(context * U(0x9E3779B97F4A7C15) + token + U(k))
-        gram[context == 0] = 0
-        grams.append(gram)
-        contexts.append(context)
-    return grams, contexts, counts
-
-
-def block_counts(docs: DataFrame, n_blocks: int, order: int = ORDER) -> DataFrame:
-    """(block, key, n, c): n-grams (n their length; 0 for the beginning) of each block and their training counts there."""
-
-    def counted(block, parts):
-        keys = np.concatenate([p[0] for p in parts])
-        n = np.concatenate([p[1] for p in parts])
-        c = np.concatenate([p[2] for p in parts])
-        at, where = np.unique(keys, return_index=True)
-        total = np.bincount(np.searchsorted(at, keys), weights=c, minlength=len(at)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block, np.int32)), pa.array(at.view(np.int64)), pa.array(n[where]), pa.array(total)], ["block", "key", "n", "c"])
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of bytes, as many as the greatest one needs."""
+    top = int(values.max()) if len(values) else 0
+    width = max(1, (top.bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    return np.ascontiguousarray(planes.T).tobytes()
 
-    def run(batches):
-        cache, held, current = WordHashes(), [], None
-        for batch in batches:
-            block = batch.column(0).to_numpy(zero_copy_only=False)
-            learns = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            raw = binaries(batch.column(2))
-            for b in np.unique(block):
-                if current is not None and b != current:
-                    yield counted(current, held)
-                    held = []
-                current = b
-                own = np.flatnonzero(block == b)
-                texts = [raw[i] for i in own]
-                for x, y in slices(texts, 1 << 20):
-                    grams, _, counts = token_keys(texts[x:y], cache, order)
-                    weight = np.repeat(learns[own[x:y]], counts)
-                    keys = np.concatenate([*grams, mix(np.array([BEGIN]))])
-                    n = np.concatenate([*[np.full(len(g), k + 1, np.int8) for k, g in enumerate(grams)], np.zeros(1, np.int8)])
-                    c = np.concatenate([*[weight] * len(grams), [learns[own[x:y]].sum()]])
-                    real = keys != 0
-                    at, first, where = np.unique(keys[real], return_index=True, return_inverse=True)
-                    held.append((at, n[real][first], np.bincount(where, weights=c[real])))
-        if held:
-            yield counted(current, held)
-
-    rows = docs.select("block", "learns", "text").repartition(n_blocks, "block").sortWithinPartitions("block")
-    return rows.mapInArrow(run, "block int, key long, n byte, c long")
+
+def unpack(raw: bytes, count: int) -> np.ndarray:
+    out = np.zeros((count, 8), np.uint8)
+    if count:
+        out[:, : len(raw) // count] = np.frombuffer(raw, np.uint8).reshape(-1, count).T
+    return out.view("<u8").ravel()
+
+
+class Grams:
+    """The n-grams of a block's texts: sorted distinct keys, and each token's place among them by order.
+
+    A key is a hash; its lowest bit tells words (1) from longer n-grams and the
+    beginning (0). place[k] is -1 where a text has no n-gram of k + 1 tokens ending at
+    the token; an n-gram of two or more may begin with the text's beginning.
+    """
+
+    def __init__(self, texts: list, learns: np.ndarray, order: int, cache: WordHashes):
+        flat, words = hashed_words(texts, cache)
+        self.counts = counts = words + 1
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        token = np.empty(total, U)
+        inner = np.ones(total, bool)
+        inner[ends - 1] = False
+        token[inner], token[~inner] = flat, END
+        self.inner = inner
+        self.nth = nth = np.arange(total) - np.repeat(ends - counts, counts)
+        one = mix(token) | U(1)
+        begin = mix(np.array([BEGIN])) & ~U(1)
+        grams, real = [one], [np.ones(total, bool)]
+        for k in range(2, order + 1):
+            context = np.empty(total, U)
+            context[1:] = grams[-1][:-1]
+            if k == 2:
+                context[nth == 0] = begin[0]
+            grams.append(mix(context * U(0x9E3779B97F4A7C15) + token + U(k)) & ~U(1))
+            real.append(nth >= k - 2)
+        keys = np.concatenate([begin, *[g[r] for g, r in zip(grams, real, strict=True)]])
+        weight = np.repeat(learns, counts)
+        weights = np.concatenate([[learns.sum()], *[weight[r] for r in real]]).astype(np.int64)
+        order_ = np.argsort(keys, kind="stable")
+        keys, weights = keys[order_], weights[order_]
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        number = np.empty(len(keys), np.int32)
+        number[order_] = np.cumsum(first) - 1
+        self.keys = keys[first]
+        self.own = np.add.reduceat(weights, np.flatnonzero(first))
+        self.begin, at = int(number[0]), 1
+        self.place = []
+        for r in real:
+            place = np.full(total, -1, np.int32)
+            n = int(np.count_nonzero(r))
+            place[r] = number[at : at + n]
+            self.place.append(place)
+            at += n
+
+    def cuts(self, ranges: int) -> np.ndarray:
+        """Where each range of the keys begins, and the end of the last."""
+        return np.searchsorted(range_of(self.keys, ranges), np.arange(ranges + 1))
+
+
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return ((keys >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
 
 
 class Automaton:
-    """The slice of the automaton that one block's texts can walk."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, order: int, prior: float):
-        rank = np.argsort(keys)
-        self.keys, self.counts = keys[rank], counts[rank]
-        self.tokens, self.distinct, self.order, self.prior = tokens, distinct, order, prior
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0).astype(np.float64)
-
-    def walk(self, texts: list, cache: WordHashes):
-        """(tokens, known tokens, base, score) of each text."""
-        grams, contexts, counts = token_keys(texts, cache, self.order)
-        c = self.count(grams[0])
-        p = base = (c + ADD) / (self.tokens + ADD * (self.distinct + 1))
-        for gram, context in zip(grams[1:], contexts[1:], strict=True):
-            state = self.count(context)
-            p = np.where(state > 0, (self.count(gram) + self.prior * p) / (state + self.prior), p)
-        starts = np.cumsum(counts) - counts
-        add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
-        return counts, add((c > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
-
-
-def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The slice of the automaton that one block's texts can walk; states and words are numbers.
+
+    arc: sorted state * words + word; weight and target beside it. fail, fail_weight
+    and start by state; gram_state: the state of each n-gram, 0 (the empty one) if none.
+    """
+
+    def __init__(self, grams: Grams, totals: np.ndarray, tokens: int, distinct: int, order: int, prior: float):
+        c = totals.astype(np.float64)
+        n = len(totals)
+        self.grams, self.order, self.words = grams, order, n
+        p = np.where((grams.keys & U(1)) > 0, (c + ADD) / (tokens + ADD * (distinct + 1)), 0.0)
+        self.base, self.known = np.log10(np.where(p > 0, p, 1.0)), totals > 0
+        # The states: contexts seen in training, numbered from 1.
+        context = np.zeros(n, bool)
+        context[grams.begin] = True
+        for place in grams.place[: order - 1]:
+            context[place[grams.inner & (place >= 0)]] = True
+        is_state = context & (totals > 0)
+        self.gram_state = np.where(is_state, np.cumsum(is_state), 0)
+        many = int(is_state.sum()) + 1
+        count = np.concatenate([[0.0], c[is_state]])
+        self.fail = np.zeros(many, np.int64)
+        self.fail_weight = np.log10(np.where(count > 0, prior / (count + prior), 1.0))
+        self.start = int(self.gram_state[grams.begin])
+        arcs, weights, targets = [], [], []
+        for k, place in enumerate(grams.place):
+            seen = np.flatnonzero(place >= 0)
+            gram, first = np.unique(place[seen], return_index=True)
+            first = seen[first]  # one token that ends each n-gram tells its context, word and shorter end
+            word = grams.place[0][first]
+            shorter = grams.place[k - 1][first] if k else np.zeros(len(first), np.int64)
+            if k == 0:
+                state = np.zeros(len(first), np.int64)
+            else:
+                known = totals[gram] > 0
+                gram, first, word, shorter = gram[known], first[known], word[known], shorter[known]
+                before = grams.place[k - 1][first - 1] if k > 1 else np.where(grams.nth[first] > 0, grams.place[0][first - 1], grams.begin)
+                state = self.gram_state[before]
+                p[gram] = (c[gram] + prior * p[shorter]) / (c[before] + prior)
+                own = self.gram_state[gram]
+                self.fail[own[own > 0]] = self.gram_state[shorter[own > 0]]
+            arcs.append(state.astype(np.int64) * n + word)
+            weights.append(np.log10(p[gram]))
+            own = self.gram_state[gram]
+            targets.append(np.where(own > 0, own, self.gram_state[shorter]) if k else own)
+        arcs = np.concatenate(arcs)
+        rank = np.argsort(arcs)
+        self.arc, self.weight, self.target = arcs[rank], np.concatenate(weights)[rank], np.concatenate(targets)[rank]
+
+    def walk(self) -> np.ndarray:
+        """log10 probability of each text: all pieces of all texts in step, each carrying its state."""
+        grams = self.grams
+        counts, word = grams.counts, grams.place[0]
+        pieces = (counts + PIECE - 1) // PIECE
+        text = np.repeat(np.arange(len(counts)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = (np.cumsum(counts) - counts)[text] + nth * PIECE
+        length = np.minimum(counts[text] - nth * PIECE, PIECE)
+        state = np.full(len(text), self.start, np.int64)
+        later = np.flatnonzero(nth > 0)
+        state[later] = self.after(at[later] - 1)
+        order = np.argsort(-length, kind="stable")
+        at, length, state, owner = at[order], length[order], state[order], text[order]
+        score = np.zeros(len(text))
+        for step in range(int(length[0]) if len(length) else 0):
+            moving = np.arange(np.searchsorted(-length, -step, "left"))  # the pieces longer than step
+            w = word[at[moving] + step]
+            while len(moving):
+                code = state[moving] * self.words + w
+                found = np.minimum(np.searchsorted(self.arc, code), len(self.arc) - 1)
+                taken = self.arc[found] == code
+                score[moving[taken]] += self.weight[found[taken]]
+                state[moving[taken]] = self.target[found[taken]]
+                moving, w = moving[~taken], w[~taken]  # the empty state has an arc for every word
+                score[moving] += self.fail_weight[state[moving]]
+                state[moving] = self.fail[state[moving]]
+        return np.bincount(owner, weights=score, minlength=len(counts))
+
+    def after(self, at: np.ndarray) -> np.ndarray:
+        """The state that reading up to each of some tokens leads to: of the longest end that is one."""
+        state = np.zeros(len(at), np.int64)
+        for place in self.grams.place[: self.order - 1]:
+            gram = place[at]
+            longer = np.where(gram >= 0, self.gram_state[gram], 0)
+            state = np.where(longer > 0, longer, state)
+        return state
+
+
+def by_block(batches, block: int):
+    """(block, its rows as one batch) of batches sorted by the block column."""
+    held: list = []
+    for batch in batches:
+        own = batch.column(block).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and held[0][0] != own[a]:
+                yield held[0][0], [part for _, part in held]
+                held = []
+            held.append((int(own[a]), batch.slice(a, b - a)))
+    if held:
+        yield held[0][0], [part for _, part in held]
+
+
+def asked(rows: DataFrame, n_blocks: int, ranges: int, order: int) -> DataFrame:
+    """(range, block, n, keys, counts): the packed n-grams of each block by range of their hashes."""
+
+    def run(batches):
+        cache = WordHashes()
+        for block, parts in by_block(batches, 0):
+            texts = [t for part in parts for t in binaries(part.column(2))]
+            learns = np.concatenate([part.column(1).to_numpy(zero_copy_only=False) for part in parts]).astype(np.int64)
+            grams = Grams(texts, learns, order, cache)
+            cuts = grams.cuts(ranges)
+            own = [(r, a, b) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+            for k in range(0, len(own), 64):
+                part = own[k : k + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r for r, _, _ in part], pa.int32()),
+                        pa.array([block] * len(part), pa.int32()),
+                        pa.array([b - a for _, a, b in part], pa.int32()),
+                        pa.array([pack(np.diff(grams.keys[a:b], prepend=U(0) if a == b else grams.keys[a])) for _, a, b in part], pa.binary()),
+                        pa.array([grams.keys[a].item() - (1 << 63) for _, a, _ in part], pa.int64()),
+                        pa.array([pack(grams.own[a:b]) for _, a, b in part], pa.binary()),
+                    ],
+                    ["range", "block", "n", "keys", "first", "counts"],
+                )
+
+    dealt = rows.select("block", "learns", "text").repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block")
+    return dealt.mapInArrow(run, "range int, block int, n int, keys binary, first long, counts binary")
+
+
+def answered(asks: DataFrame, ranges: int) -> DataFrame:
+    """(range, block, totals, tokens, distinct): packed totals in the order asked for; N and V of each range under block -1."""
+
+    def run(batches):
+        for number, parts in by_block(batches, 0):
+            blocks, keys, counts = [], [], []
+            for part in parts:
+                for b, n, k, f, c in zip(*(part.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                    blocks.append(b)
+                    keys.append(np.cumsum(unpack(k, n), dtype=U) + U(f + (1 << 63)))
+                    counts.append(unpack(c, n).astype(np.int64))
+            sizes = [len(k) for k in keys]
+            distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(where, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+            words = (distinct & U(1)) > 0
+            ends = np.cumsum(sizes)
+            for k in range(0, len(blocks), 256):
+                part = range(k, min(k + 256, len(blocks)))
+                packed = [pack(total[where[ends[i] - sizes[i] : ends[i]]]) for i in part]
+                nothing = [0] * len(packed)
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(packed), pa.int32()), pa.array([blocks[i] for i in part], pa.int32()), pa.array(packed, pa.binary()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.int64())], ["range", "block", "totals", "tokens", "distinct"])
+            sums = [int(total[words].sum())], [int(np.count_nonzero(total[words]))]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64())], ["range", "block", "totals", "tokens", "distinct"])
+
+    dealt = asks.repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
+    return dealt.mapInArrow(run, "range int, block int, totals binary, tokens long, distinct long")
+
+
+def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all documents."""
-    n_blocks = bucket_count(text_bytes(docs) + docs.count() * 16, block_bytes)
+    size = text_bytes(docs) + docs.count() * 16
+    n_blocks, ranges = bucket_count(size, block_bytes), bucket_count(size, range_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
     rows = docs.select(block.alias("block"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    asked = written(block_counts(rows.withColumn("learns", ~F.col("held_out")), n_blocks, order))
-    totals = written(asked.where("c > 0").groupBy("key").agg(F.sum("c").alias("total"), F.max("n").alias("n")))
-    words = totals.where("n = 1").agg(F.sum("total"), F.count("*")).first()
-    tokens, distinct = int(words[0] or 0), int(words[1])
-    arcs = asked.select("block", "key").join(totals.select("key", "total"), "key")
+    totals = written(answered(asked(rows.withColumn("learns", ~F.col("held_out")), n_blocks, ranges, order), ranges))
+    sums = totals.agg(F.sum("tokens"), F.sum("distinct")).first()
+    tokens, distinct = int(sums[0] or 0), int(sums[1] or 0)
     none = lambda kind_, name: F.lit(None).cast(kind_).alias(name)
-    both = arcs.select("block", F.lit(0).alias("kind"), "key", "total", none(kind, "doc_id"), none("boolean", "held_out"), none("string", "text")).unionAll(
-        rows.select("block", F.lit(1).alias("kind"), none("long", "key"), none("long", "total"), "doc_id", "held_out", "text")
-    )
+    answers = totals.where("block >= 0").select("block", "range", "totals", none(kind, "doc_id"), none("boolean", "held_out"), none("string", "text"))
+    texts = rows.select("block", F.lit(ranges).alias("range"), none("binary", "totals"), "doc_id", "held_out", "text")
 
     def run(batches):
-        cache, current, slice_, machine = WordHashes(), None, [], None
-        for batch in batches:
-            block = batch.column(0).to_numpy(zero_copy_only=False)
-            arc = batch.column(1).to_numpy(zero_copy_only=False) == 0
-            for b in np.unique(block):
-                if b != current:
-                    current, slice_, machine = b, [], None
-                own = block == b
-                part = batch.filter(pa.array(own & arc))
-                if part.num_rows:
-                    slice_.append((part.column(2).to_numpy(zero_copy_only=False).view(U), part.column(3).to_numpy(zero_copy_only=False)))
-                part = batch.filter(pa.array(own & ~arc))
-                if not part.num_rows:
-                    continue
-                if machine is None:
-                    keys, counts = (np.concatenate(x) for x in zip(*slice_, strict=True)) if slice_ else (np.zeros(0, U), np.zeros(0, np.int64))
-                    machine, slice_ = Automaton(keys, counts, tokens, distinct, order, prior), []
-                raw = binaries(part.column(6))
-                for x, y in slices(raw, 1 << 20):
-                    n, known, base, full = machine.walk(raw[x:y], cache)
+        cache = WordHashes()
+        for _, parts in by_block(batches, 0):
+            packed, docs_, texts_ = [], [], []
+            for part in parts:
+                is_text = part.column(1).to_numpy(zero_copy_only=False) == ranges
+                answer = part.filter(pa.array(~is_text))
+                packed += zip(answer.column(1).to_pylist(), answer.column(2).to_pylist(), strict=True)
+                own = part.filter(pa.array(is_text))
+                docs_.append(own)
+                texts_ += binaries(own.column(5))
+            if not texts_:
+                continue
+            grams = Grams(texts_, np.zeros(len(texts_), np.int64), order, cache)
+            cuts = grams.cuts(ranges)
+            total = np.zeros(len(grams.keys), np.int64)
+            for r, raw in packed:
+                total[cuts[r] : cuts[r + 1]] = unpack(raw, int(cuts[r + 1] - cuts[r]))
+            machine = Automaton(grams, total, tokens, distinct, order, prior)
+            starts = np.cumsum(grams.counts) - grams.counts
+            word = grams.place[0]
+            known = np.add.reduceat(machine.known[word].astype(np.int64), starts)
+            base = np.add.reduceat(machine.base[word], starts)
+            full, at = machine.walk(), 0
+            for own in docs_:
+                a, at = at, at + own.num_rows
+                if own.num_rows:
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(4)[x:y], part.column(5)[x:y], pa.array(n), pa.array(known), pa.array(np.full(y - x, tokens, np.int64)), pa.array(base), pa.array(full)],
+                        [own.column(3), own.column(4), pa.array(grams.counts[a:at]), pa.array(known[a:at]), pa.array(np.full(at - a, tokens, np.int64)), pa.array(base[a:at]), pa.array(full[a:at])],
                         ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                     )
 
-    dealt = both.repartition(n_blocks, "block").sortWithinPartitions("block", "kind")
+    dealt = answers.unionAll(texts).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block")
     return dealt.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
