@@ -3,10 +3,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import ngrams
-from tidemark.llm.common import WordHashes
 
 ROWS = [(1, "The rain in the north"), (2, "the sun in the south\tand rain"), (3, None), (4, ""), (5, "unheard of"), (30, "rain the"), (38, "In the north rain"), (38, "In the north rain")]
 ROWS += [(40 + k, "the rain in " * 200 + "spain") for k in range(3)]
@@ -52,8 +52,8 @@ def test_scores_equal_brute_force(spark, size, order):
 
 
 def test_the_walk_takes_arcs_and_failure_arcs_and_carries_its_state():
-    grams = ngrams.Grams([b"a b c", b"a b d", b"x b d"], np.array([1, 1, 0]), 3, WordHashes())
-    totals = grams.own
+    texts, learns = pa.array(["a b c", "a b d", "x b d"]), np.array([True, True, False])
+    totals, grams = ngrams.Grams(texts, 3, learns).own, ngrams.Grams(texts, 3)
     machine = ngrams.Automaton(grams, totals, int(totals[(grams.keys & np.uint64(1)) > 0].sum()), 5, 3, 30.0)
     state = machine.gram_state
     assert machine.fail[state[grams.place[1][1]]] == state[grams.place[0][1]]  # (a b) fails to (b)
@@ -71,6 +71,6 @@ def test_numbers_are_packed_whole():
 
 
 def test_odd_ids_and_empty_table(spark):
-    frame = spark.createDataFrame([("x", "a b"), (None, "a")], "doc_id string, text string")
+    frame = spark.createDataFrame([("x", " a b\x0b "), (None, "a")], "doc_id string, text string")
     assert {(r["doc_id"], r["n_tokens"]) for r in ngrams.score(frame).collect()} == {("x", 3), (None, 2)}
     assert ngrams.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0

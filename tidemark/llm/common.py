@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,8 +68,9 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files and broadcasts whose plans are no longer referenced."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass frees refers to plans too
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def unused(name: str, *frames: DataFrame) -> str:
@@ -129,6 +131,21 @@ def hashed_words(texts: list, cache: WordHashes) -> tuple[np.ndarray, np.ndarray
     return np.fromiter(map(cache.__getitem__, flat), U, len(flat)), counts
 
 
+def hashed_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a column of texts: each distinct word of the column is hashed once."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), U, len(distinct))
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    if b"" in distinct:  # beside white space at a text's ends
+        keep = code != distinct.index(b"")
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[keep], minlength=len(counts)).astype(np.int64)
+        code = code[keep]
+    return hashes[code] if len(code) else np.zeros(0, U), counts
+
+
 def slices(texts: list, limit: int = 1 << 22):
     """Index ranges of consecutive texts of about `limit` bytes together."""
     start, size = 0, 0

@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U, WordHashes, binaries, bucket_count, hashed_words, mix, text_bytes, written
+from tidemark.llm.common import U, bucket_count, hashed_column, mix, text_bytes, written
 
-ORDER = 3
+ORDER = 2
 PRIOR = 30.0  # m: how much a shorter context counts
 ADD = 0.1
 BLOCK_BYTES = 12_000_000
@@ -69,11 +69,12 @@ class Grams:
 
     A key is a hash; its lowest bit tells words (1) from longer n-grams and the
     beginning (0). place[k] is -1 where a text has no n-gram of k + 1 tokens ending at
-    the token; an n-gram of two or more may begin with the text's beginning.
+    the token; an n-gram of two or more may begin with the text's beginning. Texts
+    that only ask (`learns` given) get their own training counts and no places.
     """
 
-    def __init__(self, texts: list, learns: np.ndarray, order: int, cache: WordHashes):
-        flat, words = hashed_words(texts, cache)
+    def __init__(self, texts: pa.Array, order: int, learns: np.ndarray | None = None):
+        flat, words = hashed_column(texts)
         self.counts = counts = words + 1
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
@@ -83,27 +84,38 @@ class Grams:
         token[inner], token[~inner] = flat, END
         self.inner = inner
         self.nth = nth = np.arange(total) - np.repeat(ends - counts, counts)
-        one = mix(token) | U(1)
-        begin = mix(np.array([BEGIN])) & ~U(1)
-        grams, real = [one], [np.ones(total, bool)]
+        low = ~U(3)  # the second bit is free for what a token does here
+        begin = mix(np.array([BEGIN])) & low
+        grams, real = [mix(token) & low | U(1)], [np.ones(total, bool)]
         for k in range(2, order + 1):
             context = np.empty(total, U)
             context[1:] = grams[-1][:-1]
             if k == 2:
                 context[nth == 0] = begin[0]
-            grams.append(mix(context * U(0x9E3779B97F4A7C15) + token + U(k)) & ~U(1))
+            grams.append(mix(context * U(0x9E3779B97F4A7C15) + token + U(k)) & low)
             real.append(nth >= k - 2)
+        if learns is not None:
+            flag = learns.astype(U) * U(2)
+            each = np.repeat(flag, counts)
+            keys = np.sort(np.concatenate([begin | flag, *[(g | each)[r] for g, r in zip(grams, real, strict=True)]]))
+            learnt = (keys & U(2)) > 0
+            keys &= ~U(2)
+            if np.any(keys[1:] < keys[:-1]):  # a word's bit below the flag
+                rank = np.argsort(keys)
+                keys, learnt = keys[rank], learnt[rank]
+            first = np.ones(len(keys), bool)
+            first[1:] = keys[1:] != keys[:-1]
+            self.keys = keys[first]
+            self.own = np.add.reduceat(learnt.astype(np.int64), np.flatnonzero(first))
+            return
         keys = np.concatenate([begin, *[g[r] for g, r in zip(grams, real, strict=True)]])
-        weight = np.repeat(learns, counts)
-        weights = np.concatenate([[learns.sum()], *[weight[r] for r in real]]).astype(np.int64)
-        order_ = np.argsort(keys, kind="stable")
-        keys, weights = keys[order_], weights[order_]
+        rank = np.argsort(keys)
+        keys = keys[rank]
         first = np.ones(len(keys), bool)
         first[1:] = keys[1:] != keys[:-1]
         number = np.empty(len(keys), np.int32)
-        number[order_] = np.cumsum(first) - 1
+        number[rank] = np.cumsum(first) - 1
         self.keys = keys[first]
-        self.own = np.add.reduceat(weights, np.flatnonzero(first))
         self.begin, at = int(number[0]), 1
         self.place = []
         for r in real:
@@ -150,8 +162,10 @@ class Automaton:
         arcs, weights, targets = [], [], []
         for k, place in enumerate(grams.place):
             seen = np.flatnonzero(place >= 0)
-            gram, first = np.unique(place[seen], return_index=True)
-            first = seen[first]  # one token that ends each n-gram tells its context, word and shorter end
+            one = np.full(n, -1, np.int64)
+            one[place[seen]] = seen  # one token that ends each n-gram tells its context, word and shorter end
+            gram = np.flatnonzero(one >= 0)
+            first = one[gram]
             word = grams.place[0][first]
             shorter = grams.place[k - 1][first] if k else np.zeros(len(first), np.int64)
             if k == 0:
@@ -232,11 +246,9 @@ def asked(rows: DataFrame, n_blocks: int, ranges: int, order: int) -> DataFrame:
     """(range, block, n, keys, counts): the packed n-grams of each block by range of their hashes."""
 
     def run(batches):
-        cache = WordHashes()
         for block, parts in by_block(batches, 0):
-            texts = [t for part in parts for t in binaries(part.column(2))]
-            learns = np.concatenate([part.column(1).to_numpy(zero_copy_only=False) for part in parts]).astype(np.int64)
-            grams = Grams(texts, learns, order, cache)
+            learns = np.concatenate([part.column(1).to_numpy(zero_copy_only=False) for part in parts])
+            grams = Grams(pa.concat_arrays([part.column(2) for part in parts]), order, learns)
             cuts = grams.cuts(ranges)
             own = [(r, a, b) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
             for k in range(0, len(own), 64):
@@ -246,7 +258,7 @@ def asked(rows: DataFrame, n_blocks: int, ranges: int, order: int) -> DataFrame:
                         pa.array([r for r, _, _ in part], pa.int32()),
                         pa.array([block] * len(part), pa.int32()),
                         pa.array([b - a for _, a, b in part], pa.int32()),
-                        pa.array([pack(np.diff(grams.keys[a:b], prepend=U(0) if a == b else grams.keys[a])) for _, a, b in part], pa.binary()),
+                        pa.array([pack(np.diff(grams.keys[a:b], prepend=grams.keys[a])) for _, a, b in part], pa.binary()),
                         pa.array([grams.keys[a].item() - (1 << 63) for _, a, _ in part], pa.int64()),
                         pa.array([pack(grams.own[a:b]) for _, a, b in part], pa.binary()),
                     ],
@@ -300,19 +312,18 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, block_bytes
     texts = rows.select("block", F.lit(ranges).alias("range"), none("binary", "totals"), "doc_id", "held_out", "text")
 
     def run(batches):
-        cache = WordHashes()
         for _, parts in by_block(batches, 0):
-            packed, docs_, texts_ = [], [], []
+            packed, docs_ = [], []
             for part in parts:
                 is_text = part.column(1).to_numpy(zero_copy_only=False) == ranges
                 answer = part.filter(pa.array(~is_text))
                 packed += zip(answer.column(1).to_pylist(), answer.column(2).to_pylist(), strict=True)
                 own = part.filter(pa.array(is_text))
                 docs_.append(own)
-                texts_ += binaries(own.column(5))
-            if not texts_:
+            texts_ = pa.concat_arrays([own.column(5) for own in docs_])
+            if not len(texts_):
                 continue
-            grams = Grams(texts_, np.zeros(len(texts_), np.int64), order, cache)
+            grams = Grams(texts_, order)
             cuts = grams.cuts(ranges)
             total = np.zeros(len(grams.keys), np.int64)
             for r, raw in packed:
