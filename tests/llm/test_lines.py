@@ -27,13 +27,46 @@ def test_banded_distance_is_the_edit_distance():
         assert lines.within(a, b) == (distance(a, b) <= lines.EDITS), (a, b)
 
 
-def test_every_near_line_is_asked_for():
+def keys(line, which):
+    return {int(sig[0]) for _, sig, *_ in getattr(lines.Text([line]), which)()}
+
+
+def test_every_near_line_is_asked_for_and_met_by_rare_grams():
     rng = random.Random(2)
-    for _ in range(3000):
+    for _ in range(1500):
         a = "".join(rng.choice("abc ") for _ in range(rng.randrange(9, 40)))
         b = edited(rng, a, rng.randrange(3))
         if distance(a, b) <= lines.EDITS and len(b) > 6:
-            assert set(lines.index_of(a)) & set(lines.asked(b)), (a, b)
+            assert keys(a, "index") & keys(b, "asked"), (a, b)
+
+
+def test_rare_grams_bring_near_lines_together(spark):
+    rng = random.Random(8)
+    stock = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(6)] + ["a" * 40, "ab" * 20, "-" * 33]
+    some = sorted({edited(rng, rng.choice(stock), rng.randrange(6)) for _ in range(160)})
+    rows = [(k, (False, k, 0), line, True) for k, line in enumerate(some)]
+    frame = spark.createDataFrame(rows, "lid long, o struct<nil boolean, id long, pos int>, line string, asks boolean")
+    got = {tuple(r) for r in lines.by_rare_grams(frame).collect()}
+    want = {(i, j) for i in range(len(some)) for j in range(i) if distance(some[i], some[j]) <= lines.EDITS}
+    assert want <= got
+    assert want
+
+
+def test_variants_of_a_template_do_not_all_meet(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    rows = [(k, (False, k, 0), f"the same long opening of a line, then {word()} and the same long end of the line", True) for k in range(400)]
+    frame = spark.createDataFrame(rows, "lid long, o struct<nil boolean, id long, pos int>, line string, asks boolean")
+    assert lines.by_rare_grams(frame).count() < 400 * 20
+
+
+def test_clashing_columns_and_other_ids(spark):
+    line = "a line that is long enough to be compared"
+    rows = [("b", line, "x", 1, 2, 3, 4), ("a", line + "s", "y", 1, 2, 3, 4), (None, line, "z", 1, 2, 3, 4)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, id string, places int, _n_lines int, _id int, lid int")
+    got = {r["doc_id"]: r["text"] for r in lines.report(frame).collect()}
+    assert got == {"a": line + "s", "b": "", None: ""}
+    assert lines.deduplicated(frame).columns == frame.columns
 
 
 def brute(rows):

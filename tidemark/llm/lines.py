@@ -11,29 +11,41 @@ segments and asks, for each length within EDITS, for the substrings at those pla
 (multi-match-aware: no more than the edits on both sides allow). Candidates are
 verified by a banded bit-parallel automaton.
 
+Pieces are hashed by sums of powers over a whole batch of lines, so that any substring
+costs two look-ups; pieces that no other line can have are dropped where they arise, by
+bounded bit filters of the index, and nothing else is.
+
 Whether a line goes depends on one earlier line near it, so each line first meets the
-earliest line of its buckets; what is settled asks no more, and only what is left
-meets all earlier members. A popular line or template thus costs one comparison a line.
+earliest line of its buckets, and what is settled asks no more. Lines still open whose
+buckets hold others meet these by rare q-grams: of lines within `EDITS` edits, each
+lacks at most `EDITS` * `GRAM` distinct q-grams of the other, so in any one order of all
+q-grams the first `EDITS` * `GRAM` + 1 of both have one in common; the order is by
+frequency, rare ones first. A popular line or template thus costs one comparison a line,
+and its variants meet only those that share what is rare in them.
 
 Defined results: null and empty texts have no lines and stay as they are; a text may
 lose all its lines and is empty then; very long lines are compared whole; rows with
 one doc_id are one document's, an equal line at an equal place of them is one line;
-rows with a null doc_id come last in the order; an empty table gives no rows; other
-columns don't matter.
+rows with a null doc_id come last in the order; ids of any type that has an order are
+taken; an empty table gives no rows; other columns don't matter, whatever their names.
+"White space at its ends" is spaces (U+0020).
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import U, drop_written, mix, unused, written
+from tidemark.llm.jaccard import bit_filter, contains
 
 EDITS = 2
 MIN_CHARS = 30
-LAST = (1 << 63) - 1
+GRAM = 4  # characters of a q-gram
+COUNTERS = 1 << 20  # of q-grams by hash, whatever the input
+BASE = 0x9E3779B97F4A7C15
 
 
 def within(a: str, b: str, edits: int = EDITS) -> bool:
@@ -89,120 +101,230 @@ def cuts(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
     return out
 
 
-def signature(length: int, part: int, piece: str) -> int:
-    value = xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass"), seed=length * 16 + part)
-    return value - (1 << 64) if value >> 63 else value
-
-
-def index_of(line: str, edits: int = EDITS) -> list[int]:
-    n = len(line)
-    return [signature(n, i, line[s : s + size]) for i, (s, size) in enumerate(cuts(n, edits))]
-
-
-def asked(line: str, edits: int = EDITS) -> list[int]:
-    """Signatures of the substrings by which a line of any near length may be found."""
-    n, out = len(line), []
-    for length in range(max(1, n - edits), n + edits + 1):
-        delta = n - length
-        for i, (start, size) in enumerate(cuts(length, edits)):
-            # i edits at most lie to the left of the first equal segment, edits - i to its right.
-            low = max(0, start - i, start + delta - (edits - i))
-            high = min(n - size, start + i, start + delta + (edits - i))
-            out += [signature(length, i, line[at : at + size]) for at in range(low, high + 1)]
-    return out
+def pieces(lengths: np.ndarray, edits: int = EDITS):
+    """(start, size) of each of the edits + 1 segments, for many lengths; as `cuts`."""
+    parts = edits + 1
+    short, longer = lengths // parts, lengths % parts
+    at = np.zeros(len(lengths), np.int64)
+    for i in range(parts):
+        size = short + (i >= parts - longer)
+        yield at, size
+        at = at + size
+
+
+class Text:
+    """Lines laid out one after another, with hashes of all their substrings at hand."""
+
+    def __init__(self, lines: list[str]):
+        self.length = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.start = np.cumsum(self.length) - self.length
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(U)
+        n = len(codes)
+        powers = np.cumprod(np.concatenate([[U(1)], np.full(n, U(BASE))]))
+        self.back = np.cumprod(np.concatenate([[U(1)], np.full(n, U(pow(BASE, -1, 1 << 64)))]))
+        self.sums = np.concatenate([[U(0)], np.cumsum(mix(codes + U(1)) * powers[:n])])
+
+    def hashes(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of the substrings of `size` characters from each place of the layout."""
+        return (self.sums[at + size] - self.sums[at]) * self.back[at]
+
+    def signatures(self, line: np.ndarray, at: np.ndarray, size: np.ndarray, length: np.ndarray, part: int) -> np.ndarray:
+        """Of substrings of some lines, as the given segment of a line of a length."""
+        return mix(self.hashes(self.start[line] + at, size) ^ (length.astype(U) * U(16) + U(part)) * U(0xD6E8FEB86659FD93))
+
+    def index(self, edits: int = EDITS):
+        """(line, signature) of the segments of all lines."""
+        every = np.arange(len(self.length))
+        for i, (at, size) in enumerate(pieces(self.length, edits)):
+            yield every, self.signatures(every, at, size, self.length, i)
+
+    def asked(self, edits: int = EDITS):
+        """(line, signature, whether it is a segment of the line itself) of the substrings by which a line of any near length may be found."""
+        for d in range(-edits, edits + 1):
+            length = self.length + d
+            for i, (start, size) in enumerate(pieces(np.maximum(length, 0), edits)):
+                # i edits at most lie to the left of the first equal segment, edits - i to its right.
+                low = np.maximum(np.maximum(0, start - i), start - d - (edits - i))
+                high = np.minimum(np.minimum(self.length - size, start + i), start - d + (edits - i))
+                for k in range(-i, i + 1):
+                    at = start + k
+                    own = np.flatnonzero((low <= at) & (at <= high) & (length > 0))
+                    if len(own):
+                        yield own, self.signatures(own, at[own], size[own], length[own], i), d == 0 and k == 0
+
+    def grams(self):
+        """(line, hash) of the distinct q-grams of all lines, sorted by line; a line shorter than one is one."""
+        size = np.minimum(self.length, GRAM)
+        count = self.length - size + 1
+        line = np.repeat(np.arange(len(count)), count)
+        at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+        value = mix(self.hashes(self.start[line] + at, size[line]))
+        order = np.lexsort((value, line))
+        line, value = line[order], value[order]
+        first = np.ones(len(line), bool)
+        first[1:] = (line[1:] != line[:-1]) | (value[1:] != value[:-1])
+        return line[first], value[first]
+
+
+def parts_of(batch: pa.RecordBatch, column: int, limit: int = 1 << 20):
+    """(first row, lines) of a batch in parts of about `limit` characters."""
+    lines, start, size = batch.column(column).to_pylist(), 0, 0
+    for i, line in enumerate(lines):
+        size += len(line)
+        if size >= limit or i + 1 == len(lines):
+            yield start, lines[start : i + 1]
+            start, size = i + 1, 0
 
 
 def occurrences(docs: DataFrame, text: bool, shortest: int) -> DataFrame:
-    """(id, pos, h1, h2[, line]) of all lines long enough, without blank ones."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    rows = rows.select("id", "pos", F.trim("raw").alias("line")).where((F.length("line") >= shortest) & F.col("line").rlike(r"\S"))
-    return rows.select("id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *([F.col("line")] if text else []))
+    """(o, h1, h2[, line]) of all lines long enough, without blank ones; o: their place in the order."""
+    id_ = F.col("doc_id")
+    rows = docs.select(id_.isNull().alias("nil"), id_.alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    rows = rows.select(F.struct("nil", "id", "pos").alias("o"), F.trim("raw").alias("line")).where((F.length("line") >= shortest) & F.col("line").rlike(r"\S"))
+    return rows.select("o", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *([F.col("line")] if text else []))
 
 
 def near(lines: DataFrame) -> DataFrame:
-    """(lid) of the distinct lines (lid, id, pos, line) that are near an earlier one."""
+    """(lid) of the distinct lines (lid, o, line) that are near an earlier one; lines: a written table."""
+    spark = lines.sparkSession
+    rows = lines.select("lid", "o", "line")
+    kind = lines.schema["o"].dataType.simpleString()
+    schema = f"sig long, lid long, o {kind}"
+    texts = lines.select("lid", "line")
 
     def index_rows(batches):
         for batch in batches:
-            sig, at = [], []
-            for k, line in enumerate(batch.column(3).to_pylist()):
-                own = index_of(line)
-                sig += own
-                at += [k] * len(own)
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), *[batch.column(c).take(at) for c in range(3)]], ["sig", "lid", "id", "pos"])
-
-    def probe_rows(batches):
-        for batch in batches:
-            sig, at = [], []
-            for k, line in enumerate(batch.column(3).to_pylist()):
-                own = set(asked(line))
-                sig += own
-                at += [k] * len(own)
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), *[batch.column(c).take(at) for c in range(3)]], ["sig", "lid", "id", "pos"])
+            for start, own in parts_of(batch, 2):
+                for line, sig in Text(own).index():
+                    at = pa.array(line + start)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["sig", "lid", "o"])
 
     def verify(batches):
         for batch in batches:
             keep = [within(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["lid"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = lines.select("lid", "id", "pos", "line")
-    schema = "sig long, lid long, id long, pos int"
-    texts = lines.select("lid", "line")
-
     def settled(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.withColumnRenamed("line", "x"), "lid").join(texts.select(F.col("lid").alias("other"), F.col("line").alias("y")), "other")
         return written(both.select("lid", "x", "y").mapInArrow(verify, "lid long").distinct())
 
-    order = F.struct("id", "pos", "lid")
-    index = rows.mapInArrow(index_rows, schema)
-    first = index.groupBy("sig").agg(F.min(order).alias("m"), F.count("*").alias("size"))
+    index = written(rows.mapInArrow(index_rows, schema))
+    member = F.struct("o", "lid")
+    first = written(index.groupBy("sig").agg(F.min(member).alias("m"), F.count("*").alias("size")))
+    shared = first.where("size > 1").select("sig")
+    # Another line's segment may be any of the index; a line's own counts only where another has it too.
+    sizes = first.agg(F.count("*"), F.count_if(F.col("size") > 1)).first()
+    known = spark.sparkContext.broadcast((bit_filter(first, "sig", sizes[0]), bit_filter(shared, "sig", sizes[1])))
+
+    def probe_rows(batches):
+        any_, company = known.value
+        for batch in batches:
+            for start, own in parts_of(batch, 2):
+                found = []
+                for line, sig, mine in Text(own).asked():
+                    keep = contains(company if mine else any_, sig)
+                    found.append((line[keep] + start, sig[keep]))
+                line, sig = (np.concatenate(x) for x in zip(*found, strict=True))
+                at = pa.array(line)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["sig", "lid", "o"])
+
     asks = rows.mapInArrow(probe_rows, schema)
-    hits = written(asks.join(first, "sig").where(F.col("m") < order).select("sig", "lid", "id", "pos", F.col("m.lid").alias("other"), "size"))
+    hits = written(asks.join(first, "sig").where(F.col("m") < member).select("sig", "lid", "o", F.col("m.lid").alias("other"), "size"), first)
     gone = settled(hits.select("lid", "other").distinct())
     # A bucket of one is done with its earliest line; others go on for the lines not yet settled.
-    open_ = written(hits.where("size > 1").join(gone, "lid", "left_anti").select("sig", "lid", "id", "pos", "other"))
+    open_ = written(hits.where("size > 1").join(gone, "lid", "left_anti").select("sig", "lid"), hits)
     if open_.isEmpty():
+        drop_written(open_, index)
         return gone
-    wanted = open_.select("sig").distinct()
-    members = index.join(wanted, "sig", "left_semi").select("sig", F.col("lid").alias("_lid"), F.struct("id", "pos", "lid").alias("_order"))
-    pairs = open_.join(members, "sig").where((F.col("_order") < order) & (F.col("_lid") != F.col("other"))).select("lid", F.col("_lid").alias("other")).distinct()
-    return gone.unionAll(settled(pairs))
+    members = index.join(open_.select("sig").distinct(), "sig", "left_semi").select("lid")
+    asking = open_.select("lid", F.lit(True).alias("asks"))
+    involved = members.select("lid", F.lit(False).alias("asks")).unionAll(asking).groupBy("lid").agg(F.max("asks").alias("asks"))
+    involved = written(rows.join(involved, "lid"), open_, index)
+    pairs = written(by_rare_grams(involved))
+    left = settled(pairs)
+    drop_written(involved, pairs)
+    return gone.unionAll(left)
+
+
+def by_rare_grams(lines: DataFrame) -> DataFrame:
+    """(lid, other): pairs of a line (lid, o, line, asks) that asks and an earlier one, all those within EDITS edits among them."""
+    spark = lines.sparkSession
+    kind = lines.schema["o"].dataType.simpleString()
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, own in parts_of(batch, 0):
+                _, value = Text(own).grams()
+                total += np.bincount((value % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    found = lines.select("line").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    often = np.zeros(COUNTERS, np.int64)
+    often[found["at"].to_numpy()] = found["n"].to_numpy()
+    shipped = spark.sparkContext.broadcast(often)
+
+    def rare(batches):
+        often, lacks = shipped.value, EDITS * GRAM
+        for batch in batches:
+            for start, own in parts_of(batch, 2):
+                line, value = Text(own).grams()
+                order = np.lexsort((value, often[(value % U(COUNTERS)).astype(np.int64)], line))
+                line, value = line[order], value[order]
+                count = np.bincount(line, minlength=len(own))
+                nth = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+                keep = nth <= lacks
+                # Lines of few distinct q-grams may have none in common: they meet by length.
+                few = np.flatnonzero(count <= 2 * lacks)
+                line = np.concatenate([line[keep], few])
+                value = np.concatenate([value[keep], np.zeros(len(few), U)])
+                at = pa.array(line + start)
+                size = np.fromiter(map(len, own), np.int64, len(own))[line]
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(size), *(batch.column(k).take(at) for k in (0, 1, 3))], ["gram", "size", "lid", "o", "asks"])
+
+    rows = lines.select("lid", "o", "line", "asks").mapInArrow(rare, f"gram long, size long, lid long, o {kind}, asks boolean")
+    asks = rows.where("asks").select("gram", F.explode(F.sequence(F.col("size") - EDITS, F.col("size") + EDITS)).alias("size"), "lid", "o")
+    earlier = rows.select("gram", "size", F.col("lid").alias("other"), F.col("o").alias("_o"))
+    return asks.join(earlier, ["gram", "size"]).where(F.struct("_o", "other") < F.struct("o", "lid")).select("lid", "other").distinct()
 
 
 def dropped(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
-    """(id, places, n): places of the lines that go, of each document with any."""
+    """(id, places): places of the lines that go, of each document with any."""
     hashes = ["h1", "h2"]
-    first = written(occurrences(docs, True, shortest).groupBy(*hashes).agg(F.min(F.struct("id", "pos", "line")).alias("f"), F.count("*").alias("n")).select(*hashes, "f.id", "f.pos", "f.line", "n", F.monotonically_increasing_id().alias("lid")))
-    gone = near(first.where(F.length("line") >= MIN_CHARS))
-    lost = first.join(gone, "lid").select("id", "pos")
-    repeated = first.where("n > 1").select(*hashes, F.col("id").alias("_id"), F.col("pos").alias("_pos"))
-    copies = occurrences(docs, False, shortest).join(repeated, hashes).where("id <> _id or pos <> _pos").select("id", "pos")
-    return copies.unionAll(lost).groupBy("id").agg(F.collect_set("pos").alias("places"))  # a document's own lines at most
-
-
-def dedup(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
-    """docs with text without the lines that go, and _n_lines and _n_dropped; all columns stay."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rows = docs.join(dropped(docs, shortest), key == F.col("id"), "left")
+    first = written(occurrences(docs, True, shortest).groupBy(*hashes).agg(F.min(F.struct("o", "line")).alias("f"), F.count("*").alias("n")).select(*hashes, "f.o", "f.line", "n", F.monotonically_increasing_id().alias("lid")))
+    long_ = first.where(F.length("line") >= MIN_CHARS)
+    gone = near(long_)
+    lost = first.join(gone, "lid").select("o")
+    repeated = first.where("n > 1").select(*hashes, F.col("o").alias("_o"))
+    copies = occurrences(docs, False, shortest).join(repeated, hashes).where("o <> _o").select("o")
+    return copies.unionAll(lost).groupBy("o.id").agg(F.collect_set("o.pos").alias("places"))  # a document's own lines at most
+
+
+def dedup(docs: DataFrame, shortest: int = MIN_CHARS) -> tuple[DataFrame, str, str]:
+    """docs with text without the lines that go, and the names of two further columns: number of lines, of those dropped."""
+    id_, places, n_lines, n_dropped = (unused(c, docs) for c in ("_id", "_places", "_n_lines", "_n_dropped"))
+    gone = dropped(docs.select("doc_id", "text"), shortest).select(F.col("id").alias(id_), F.col("places").alias(places))
+    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col(places).isNotNull(), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("places", s["i"]))
-    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    counted = rows.withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("_n_dropped", F.coalesce(F.size("places"), F.lit(0)).cast("long"))
-    return counted.withColumn("text", text).select(*docs.columns, "_n_lines", "_n_dropped")
+    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(places, s["i"]))
+    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    counted = rows.withColumn(n_lines, count(lines)).withColumn(n_dropped, count(F.col(places)))
+    return counted.withColumn("text", text).select(*docs.columns, n_lines, n_dropped), n_lines, n_dropped
 
 
 def report(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) of all documents."""
-    rows = dedup(docs.select("doc_id", "text"), shortest)
-    return rows.select("doc_id", F.greatest("_n_lines", F.lit(0)).alias("n_lines"), F.greatest("_n_dropped", F.lit(0)).alias("n_dropped"), "text")
+    rows, n_lines, n_dropped = dedup(docs.select("doc_id", "text"), shortest)
+    return rows.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), "text")
 
 
 def deduplicated(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """docs with the lines left; documents that lost all their words go, n_chars is counted anew, all columns stay."""
-    rows = dedup(docs, shortest).where((F.col("_n_dropped") <= 0) | F.col("text").rlike(r"\S"))
+    rows, _, n_dropped = dedup(docs, shortest)
+    rows = rows.where((F.col(n_dropped) <= 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
