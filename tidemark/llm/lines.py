@@ -192,12 +192,10 @@ def near(lines: DataFrame) -> DataFrame:
     schema = f"sig long, lid long, o {kind}"
     texts = lines.select("lid", "line")
 
-    def index_rows(batches):
+    def sigs(batches):
         for batch in batches:
-            for start, own in parts_of(batch, 2):
-                for line, sig in Text(own).index():
-                    at = pa.array(line + start)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["sig", "lid", "o"])
+            for _, own in parts_of(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig for _, sig in Text(own).index()]).view(np.int64))], ["sig"])
 
     def verify(batches):
         for batch in batches:
@@ -208,13 +206,12 @@ def near(lines: DataFrame) -> DataFrame:
         both = pairs.join(texts.withColumnRenamed("line", "x"), "lid").join(texts.select(F.col("lid").alias("other"), F.col("line").alias("y")), "other")
         return written(both.select("lid", "x", "y").mapInArrow(verify, "lid long").distinct())
 
-    index = written(rows.mapInArrow(index_rows, schema))
     member = F.struct("o", "lid")
-    first = written(index.groupBy("sig").agg(F.min(member).alias("m"), F.count("*").alias("size")))
-    shared = first.where("size > 1").select("sig")
+    sizes = written(lines.select("line").mapInArrow(sigs, "sig long").groupBy("sig").agg((F.count("*") > 1).alias("shared")))
     # Another line's segment may be any of the index; a line's own counts only where another has it too.
-    sizes = first.agg(F.count("*"), F.count_if(F.col("size") > 1)).first()
-    known = spark.sparkContext.broadcast((bit_filter(first, "sig", sizes[0]), bit_filter(shared, "sig", sizes[1])))
+    n, n_shared = sizes.agg(F.count("*"), F.count_if("shared")).first()
+    known = spark.sparkContext.broadcast((bit_filter(sizes, "sig", n), bit_filter(sizes.where("shared"), "sig", n_shared)))
+    drop_written(sizes)
 
     def probe_rows(batches):
         any_, company = known.value
@@ -228,8 +225,23 @@ def near(lines: DataFrame) -> DataFrame:
                 at = pa.array(line)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["sig", "lid", "o"])
 
-    asks = rows.mapInArrow(probe_rows, schema)
-    hits = written(asks.join(first, "sig").where(F.col("m") < member).select("sig", "lid", "o", F.col("m.lid").alias("other"), "size"), first)
+    asks = written(rows.mapInArrow(probe_rows, schema))
+    known.unpersist()
+    asked = asks.select("sig").distinct()
+    wanted = spark.sparkContext.broadcast(bit_filter(asked, "sig", asks.count()))
+
+    def index_rows(batches):
+        for batch in batches:
+            for start, own in parts_of(batch, 2):
+                for line, sig in Text(own).index():
+                    keep = contains(wanted.value, sig)
+                    at = pa.array(line[keep] + start)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["sig", "lid", "o"])
+
+    index = written(rows.mapInArrow(index_rows, schema).join(asked, "sig", "left_semi"))
+    wanted.unpersist()
+    first = index.groupBy("sig").agg(F.min(member).alias("m"), F.count("*").alias("size"))
+    hits = written(asks.join(first, "sig").where(F.col("m") < member).select("sig", "lid", "o", F.col("m.lid").alias("other"), "size"), asks)
     gone = settled(hits.select("lid", "other").distinct())
     # A bucket of one is done with its earliest line; others go on for the lines not yet settled.
     open_ = written(hits.where("size > 1").join(gone, "lid", "left_anti").select("sig", "lid"), hits)
