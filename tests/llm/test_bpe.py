@@ -1,3 +1,6 @@
+import hashlib
+import random
+
 import tokenizers
 
 from tidemark.llm import bpe
@@ -16,11 +19,34 @@ def test_ids_and_text_are_the_librarys():
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_tree_and_scan_give_the_same_ids():
+def plain(own, piece):
+    """Merges by looking for the leftmost lowest pair anew each time."""
+    ids = [own.first[b] for b in piece]
+    while True:
+        ranks = [own.rank.get(a << 20 | b, bpe.NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        if not ranks or min(ranks) == bpe.NONE:
+            return ids
+        at = ranks.index(min(ranks))
+        ids[at : at + 2] = [own.into[ranks[at]]]
+
+
+def test_the_tree_gives_the_ids_of_plain_merging():
     own = bpe.Encoder(bpe.load(byte_bpe_path()))
-    for n in range(2, bpe.BLOCK + 1):
-        for piece in (b"a" * n, (b"internationalisation" * 3)[:n]):
-            assert own.merge(piece) == own.merge_long([own.first[b] for b in piece])
-    for n in (65, 129, 257):  # a power of two of pairs
-        piece = (b"ab cd" * 60)[: n - 2] + b"he"
-        assert own.vocab[own.merge(piece)[-1]].endswith(b"he")
+    rng = random.Random(1)
+    for n in [*range(0, 70), 129, 257, 600]:
+        for piece in (b"a" * n, (b"internationalisation" * 40)[:n], (b"ab cd" * 140)[: max(0, n - 2)] + b"he", bytes(rng.choice(b"etaoin shrdlu") for _ in range(n))):
+            assert own.merge(piece) == plain(own, piece)
+
+
+def test_the_query_s_rows(spark):
+    path = byte_bpe_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    rows = [(1, "The end.", "x", 1), (1, "The end.", "x", 1), (2, None, None, 2), (None, "", "y", 3), (4, "z" * 5000 + " tail", "", 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, id int")
+    got = sorted(map(tuple, bpe.digest_documents(frame, path).collect()), key=str)
+    want = []
+    for i, text, *_ in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    assert bpe.digest_documents(frame.limit(0), path).count() == 0

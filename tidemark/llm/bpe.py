@@ -1,11 +1,12 @@
 """BPE encoding and decoding (operator 6).
 
 Each piece of a text (split as GPT-2's byte-level pre-tokeniser does) is merged
-with a segment tree over the ranks of its adjacent pairs. A leaf holds
-``rank * size + position``, so the root yields the leftmost pair of the lowest
+with a segment tree over the ranks of its adjacent pairs, `FAN` children a node. A leaf
+holds rank and position, rank first, so the root yields the leftmost pair of the lowest
 rank; a merge changes at most three leaves, each carried up in logarithmic time,
 until the root holds no rank. Results of pieces and of space-free chunks are
-remembered in bounded caches, which changes the time only.
+remembered in caches bounded in entries and in the length of each, some 100 MB a
+worker, which changes the time only.
 
 Defined results: a null or empty text has no token, and the digests are those of
 the empty string; a special token's string in a text becomes that token's id, as
@@ -30,9 +31,10 @@ from tidemark.llm.common import binaries
 #: Fixed value: the public pre-tokenisation pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHE = 300_000  # entries of one cache generation
+CHUNKS = 150_000  # entries of one cache generation, of some 300 bytes each
+PIECES = 50_000
 LONG = 64  # longer chunks are not remembered
-BLOCK = 48  # symbols of a piece whose pairs fit the root of the tree
+FAN = 16  # children of a node of the tree
 NONE = 1 << 40  # above every rank
 
 #: Unicode's White_Space property, spelt out so that no library's \s is relied on.
@@ -88,69 +90,45 @@ class Encoder:
         self.spaces = frozenset(SPACES)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece: by a linear scan of the ranks for each merge up to BLOCK bytes, by the segment tree beyond."""
-        first = self.first
+        """Ids of one piece; the tree's root yields the leftmost lowest pair until none is left."""
+        first, begin, n = self.first, self.begin, len(piece)
         ids = [first[b] for b in piece]
-        if len(ids) > BLOCK:
-            return self.merge_long(ids)
-        rank, into, begin = self.rank.get, self.into, self.begin
-        root = [begin[a << 8 | b] for a, b in pairwise(piece)]
-        last = len(root)  # place of the last id
-        while last:
-            low = min(root)
-            if low == NONE:
-                break
-            i = root.index(low)
-            del root[i], ids[i]
-            last -= 1
-            ids[i] = new = into[low]
-            if i:
-                root[i - 1] = rank((ids[i - 1] << 20) | new, NONE)
-            if i < last:
-                root[i] = rank((new << 20) | ids[i + 1], NONE)
-        return ids
-
-    def merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a binary tree whose root holds rank * size + position."""
-        rank, into, n = self.rank.get, self.into, len(ids)
-        size = 1 << (n - 1).bit_length()  # a leaf for the last id too
-        none = NONE * size
-        tree = [none] * (2 * size)
-        for i in range(n - 1):
-            if (r := rank((ids[i] << 20) | ids[i + 1])) is not None:
-                tree[size + i] = r * size + i
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
+        shift = n.bit_length()
+        leaves = [begin[a << 8 | b] << shift | i for i, (a, b) in enumerate(pairwise(piece))]
+        none = NONE << shift  # and above
+        root, levels = leaves, []
+        while len(root) > FAN:
+            levels.append(root)
+            root = [min(root[k : k + FAN]) for k in range(0, len(root), FAN)]
+        low = min(root, default=none)
+        if low >= none:
+            return ids
+        rank, into, mask = self.rank.get, self.into, (1 << shift) - 1
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        while (low := tree[1]) < none:
-            i = low % size
+        while low < none:
+            i = low & mask
             j = after[i]
-            ids[i] = into[low // size]
+            ids[i] = merged = into[low >> shift]
             ids[j] = -1
             k = after[i] = after[j]
-            changed = [(j, none), (i, none)]
+            if j < n - 1:
+                leaves[j] = none
             if k < n:
                 before[k] = i
-                if (r := rank((ids[i] << 20) | ids[k])) is not None:
-                    changed[1] = (i, r * size + i)
-            if (h := before[i]) >= 0:
-                r = rank((ids[h] << 20) | ids[i])
-                changed.append((h, none if r is None else r * size + h))
-            for at, value in changed:
-                at += size
-                if tree[at] == value:
-                    continue
-                tree[at] = value
-                while at > 1:
-                    other = tree[at ^ 1]
-                    at >>= 1
-                    if other < value:
-                        value = other
-                    if tree[at] == value:
-                        break
-                    tree[at] = value
+                leaves[i] = rank(merged << 20 | ids[k], NONE) << shift | i
+            else:
+                leaves[i] = none
+            h = before[i]
+            if h >= 0:
+                leaves[h] = rank(ids[h] << 20 | merged, NONE) << shift | h
+            if levels:
+                at = {j, i, h} if h >= 0 else {j, i}
+                for lower, upper in zip(levels, [*levels[1:], root], strict=True):
+                    at = {x // FAN for x in at if x < len(lower)}
+                    for x in at:
+                        upper[x] = min(lower[x * FAN : (x + 1) * FAN])
+            low = min(root)
         return [i for i in ids if i >= 0]
 
     def piece(self, piece: str) -> list[int]:
@@ -158,7 +136,7 @@ class Encoder:
             if (ids := self.old_pieces.get(piece)) is None:
                 ids = self.merge(piece.encode())
             if len(piece) <= LONG:
-                if len(self.pieces) >= CACHE:
+                if len(self.pieces) >= PIECES:
                     self.old_pieces, self.pieces = self.pieces, {}
                 self.pieces[piece] = ids
         return ids
@@ -207,7 +185,7 @@ class Encoder:
             if (found := self.old_chunks.get(word)) is None:
                 found = self.chunk(" " + word)
             if len(word) <= LONG:
-                if len(chunks) >= CACHE:
+                if len(chunks) >= CHUNKS:
                     self.old_chunks, self.chunks = chunks, {}
                     chunks = self.chunks
                 chunks[word] = found
@@ -244,6 +222,12 @@ class Encoder:
         return sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
+def digest_of(path: str) -> str:
+    """Name of a vocabulary by its content."""
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read()).hexdigest()
+
+
 _ENCODERS: dict = {}
 
 
@@ -273,7 +257,8 @@ def _texts(column: pa.Array) -> list:
 
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded string): token ids of each whole text, and their decoding."""
-    model, key = docs.sparkSession.sparkContext.broadcast(load(path)), path
+    model = docs.sparkSession.sparkContext.broadcast(load(path))
+    key = digest_of(path)
 
     def run(batches):
         encoder = worker_encoder(key, model)
@@ -287,7 +272,8 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
 
 def digest_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each whole text."""
-    model, key = docs.sparkSession.sparkContext.broadcast(load(path)), path
+    model = docs.sparkSession.sparkContext.broadcast(load(path))
+    key = digest_of(path)
 
     def run(batches):
         encoder = worker_encoder(key, model)
