@@ -2,20 +2,23 @@
 
 A page is read into a tree, and its visible text into blocks: runs of text between
 block-level borders. Each block gets a cost of being called content and a cost of
-being called boilerplate from a logistic classifier over what the tree says about
-it (the elements it lies in, words in class, id and role names, link density,
-length, sentence marks). The costs are the capacities from source and to sink;
-neighbouring blocks, and blocks under one parent, are joined by smoothness edges
-that cost something to cut. The minimum cut (push along shortest augmenting paths)
-labels all blocks of the page at once. Elements whose meaning is fixed by HTML
+being called boilerplate from a linear classifier, its weights set by hand, over what
+the tree says about it (the elements it lies in, words in class, id and role names,
+link density, length, sentence marks). The costs are the capacities from source and to
+sink; neighbouring blocks, and blocks under one parent, are joined by smoothness edges
+that cost something to cut, so that a lone link among paragraphs, or a lone sentence
+among links, goes with its neighbours. The minimum cut (push along shortest augmenting
+paths) labels all blocks of the page at once. Elements whose meaning is fixed by HTML
 itself (nav, footer, aside, form, script, style and the like) bind their blocks to
-the sink.
+the sink. A name that may as well be a subject (reviews, legal, discussion) says
+nothing on an element that holds an article or most of the page's text.
 
 Defined results: null, empty or text-free pages have the empty text and 0
 characters; malformed markup (unclosed and stray tags, bare < and &) is read as
 browsers do it where it matters here; very long pages are read whole, in time
 linear in their length but for the cut, whose graph has a bounded number of edges
-a block; repeated rows give repeated results. Further columns don't matter.
+a block; repeated rows give repeated results; an empty table gives no rows. Further
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -58,6 +61,11 @@ BAD_WORDS = frozenset("""
     comment comments commenting disqus reply replies respond responses discussion reader feedback reviews
     search searchbox form skip skiplink hidden print copyright tags taglist meta byline author toc jump outbrain taboola
 """.split())
+# Of these, names that may be a page's subject too.
+SUBJECTS = frozenset("""
+    side rail popular trending related share sharing social follow subscribe subscription newsletter login signin signup register notice notices
+    alert disclaimer legal promo promotion discussion reader feedback reviews responses search print copyright tags meta byline author toc jump logo branding banner
+""".split())
 GOOD_WORDS = frozenset("article articlebody body content contents entry hentry main maincontent page post posts postbody story storybody text prose".split())
 
 TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|--!>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
@@ -65,14 +73,15 @@ ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"([a-z])([A-Z])")
 
-NAMED = 1.0
-SMOOTH_NEXT = 0.7
-SMOOTH_PARENT = 0.9
+NAMED = 8.0
+OUTSIDE = 4.0  # of an article that the page marks and that holds most of its text
+SMOOTH_NEXT = 1.5
+SMOOTH_PARENT = 1.5
 BIND = 1e6
 
 
 class Node:
-    __slots__ = ("name", "parent", "bound", "bad", "good", "inside", "link", "hidden")
+    __slots__ = ("name", "parent", "bound", "bad", "subject", "good", "inside", "link", "hidden", "holds", "size")
 
     def __init__(self, name: str, attrs: str, parent: Node | None):
         self.name, self.parent = name, parent
@@ -80,23 +89,28 @@ class Node:
         self.hidden = bool(parent and parent.hidden) or name in HIDDEN
         self.link = bool(parent and parent.link) or name == "a"
         self.inside = bool(parent and parent.inside) or name in ("article", "main")
-        bad = good = 0
+        bad = subject = good = 0
+        self.holds, self.size = False, 0  # an article; characters outside links
         if attrs and not self.hidden:
             for m in ATTR.finditer(attrs):
                 key = m[1].lower()
                 value = unescape(m[2] or m[3] or m[4] or "")
                 if key in ("class", "id", "role", "itemprop", "aria-label"):
                     words = set(WORD.findall(CAMEL.sub(r"\1 \2", value).lower()))
-                    bad += bool(words & BAD_WORDS)
+                    bad += bool(words & BAD_WORDS - SUBJECTS)
+                    subject += bool(words & SUBJECTS) and not words & BAD_WORDS - SUBJECTS
                     good += bool(words & GOOD_WORDS)
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     self.hidden = True
         if name == "header" and not self.inside:
             bad += 1
         if name in ("body", "html"):
-            bad = 0
-        self.bad = (parent.bad if parent else 0) + bad
+            bad = subject = 0
+        self.bad, self.subject = bad, subject
         self.good = (parent.good if parent else 0) + good
+        if name in ("article", "main") and not self.hidden:
+            while parent is not None and not parent.holds:
+                parent.holds, parent = True, parent.parent
 
 
 class Block:
@@ -193,7 +207,18 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
-def cost_of(block: Block, page_has_article: bool) -> float:
+def named(node: Node, half: float) -> int:
+    """Names that speak for boilerplate on a node and above, two at most; subjects say nothing on what holds most of the page."""
+    count = 0
+    while node is not None and count < 2:
+        count += node.bad
+        if not node.holds and node.size <= half:
+            count += node.subject
+        node = node.parent
+    return min(count, 2)
+
+
+def cost_of(block: Block, page_has_article: bool, half: float) -> float:
     """Log-odds that a block is content; positive speaks for content."""
     node, n = block.node, len(block.text)
     if node.bound:
@@ -206,8 +231,8 @@ def cost_of(block: Block, page_has_article: bool) -> float:
     if node.inside:
         score += 6.0
     elif page_has_article:
-        score -= 9.0
-    score += 1.5 * min(node.good, 2) - 8.0 * NAMED * min(node.bad, 2)
+        score -= OUTSIDE
+    score += 1.5 * min(node.good, 2) - NAMED * named(node, half)
     if node.name in HEADING:
         score += 0.8
     if node.name in ("p", "blockquote", "pre"):
@@ -302,14 +327,23 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 def label(blocks: list[Block]) -> list[bool]:
     if not blocks:
         return []
-    has_article = any(b.node.inside and not b.node.bound for b in blocks)
-    scores = [cost_of(b, has_article) for b in blocks]
+    total = inside = 0
+    for b in blocks:
+        if not b.node.bound:
+            own, node = len(b.text) - min(b.linked, len(b.text)), b.node
+            total += own
+            inside += own if node.inside else 0
+            while node is not None:
+                node.size, node = node.size + own, node.parent
+    scores = [cost_of(b, 2 * inside > total, total / 2) for b in blocks]
     edges, last = [], {}
     for i, b in enumerate(blocks):
-        if i and b.node.inside == blocks[i - 1].node.inside and b.node.bad == blocks[i - 1].node.bad and b.node.bound == blocks[i - 1].node.bound:
+        if b.node.bound:
+            continue
+        if i and not blocks[i - 1].node.bound:
             edges.append((i - 1, i, SMOOTH_NEXT))
         parent = id(b.node.parent)
-        if parent in last and b.node.bad == blocks[last[parent]].node.bad and b.node.bound == blocks[last[parent]].node.bound:
+        if parent in last:
             edges.append((last[parent], i, SMOOTH_PARENT))
         last[parent] = i
     return min_cut(scores, edges)

@@ -12,11 +12,13 @@ fifth of them is set aside to calibrate: for each language, told from the text's
 function words alone, the threshold that gives the best F1 at the labels' own mix is
 moved to the score `THRESHOLD`.
 
-Defined results: a null or empty text has the score of a text without words; long texts
-are scored whole; labels without a document, null labels and rows held out are not
-learnt from; a document labelled twice counts once, as toxic if either says so; with
-labels of one class or none the score is 0 everywhere; repeated rows give repeated
-results; other columns don't matter.
+Defined results: a text without words (null, empty, blank) has the share of toxic among
+the labels learnt from as its score, but at most half of `THRESHOLD`: nothing in it can
+be toxic; long texts are scored whole; labels without a document, null labels and rows
+held out are not learnt from; a document labelled twice counts once, as toxic if either
+says so; with labelled documents of one class or none the score is 0 everywhere, and with
+few of each the model is fitted on those; repeated rows give repeated results; an empty
+table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -109,6 +111,7 @@ class Model:
         self.out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
         self.base = np.float32(0)
         self.shift = np.zeros(len(LANGUAGES))
+        self.prior = 0.0  # the score of a text without words
 
     def begin(self, log_odds: np.ndarray) -> None:
         """The first dimension as log-odds, seen by the first filter of each width."""
@@ -167,6 +170,8 @@ def fit(texts: list, labels: np.ndarray, weights: np.ndarray, held: np.ndarray,
     starts = np.cumsum(counts) - counts
     model = Model(seed)
     train = np.flatnonzero(~held)
+    if not len(train):
+        train = np.arange(len(labels))
     seen = np.zeros((2, ROWS))
     for i in train:
         own = np.unique(grams[np.unique(ids[starts[i] : starts[i] + counts[i]])])
@@ -263,10 +268,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     rows = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= MAX_CHARS).join(F.broadcast(ids), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"), F.first("held").alias("held")).orderBy("doc_id").collect()
     y = np.array([r["toxic"] for r in rows], np.int64)
-    if len(rows) < 10 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     weights = np.where(y == 1, totals[1] / max(1, y.sum()), totals[0] / max(1, (1 - y).sum()))
-    return fit([r["text"] for r in rows], y, weights, np.array([r["held"] for r in rows], bool))
+    model = fit([r["text"] for r in rows], y, weights, np.array([r["held"] for r in rows], bool))
+    model.prior = min(THRESHOLD / 2, totals[1] / (totals[0] + totals[1]))
+    return model
 
 
 class Judge:
@@ -282,7 +289,8 @@ class Judge:
             ids, grams, counts, lang = read([None if t is None else t.decode("utf-8", "replace") for t in raw[a:b]], self.words)
             used, at = np.unique(ids, return_inverse=True)
             x = self.model.logits(at, grams[used], counts) - self.model.shift[lang] + self.level
-            out.append(1 / (1 + np.exp(-np.clip(x.astype(np.float64), -500, 500))))
+            own = 1 / (1 + np.exp(-np.clip(x.astype(np.float64), -500, 500)))
+            out.append(np.where(counts > 0, own, self.model.prior))
         return np.concatenate(out) if out else np.zeros(0)
 
 
