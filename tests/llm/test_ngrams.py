@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import ngrams
+from tidemark.llm.common import pack, unpack
 
 ROWS = [(1, "The rain in the north"), (2, "the sun in the south\tand rain"), (3, None), (4, ""), (5, "unheard of"), (30, "rain the"), (38, "In the north rain"), (38, "In the north rain")]
 ROWS += [(40 + k, "the rain in " * 200 + "spain") for k in range(3)]
@@ -67,7 +68,7 @@ def test_the_walk_takes_arcs_and_failure_arcs_and_carries_its_state():
 def test_numbers_are_packed_whole():
     for values in ([], [0], [255, 256], [1 << 63, 3]):
         values = np.array(values, np.uint64)
-        assert (ngrams.unpack(ngrams.pack(values), len(values)) == values).all()
+        assert (unpack(pack(values), len(values)) == values).all()
 
 
 def test_odd_ids_and_empty_table(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SHORT = 2.0  # seconds
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,15 +45,17 @@ def written(df: DataFrame, *spent: DataFrame) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, a lost executor loses nothing.
 
     The files of `spent` tables, of which df was the last reader, go, and so do the
-    shuffle files of df's own plan.
+    shuffle files of df's own plan, after short writes only with those of a later one.
     """
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path, begun = shared_dir(spark), time.monotonic()
     df.write.parquet(path)
+    took = time.monotonic() - begun
     out = spark.read.schema(df.schema).parquet(path)
     del df
     drop_written(*spent)
-    release(spark)
+    if took > SHORT:
+        release(spark)
     return out
 
 
@@ -161,3 +167,40 @@ def slices(texts: list, limit: int = 1 << 22):
 def binaries(column: pa.Array) -> list:
     """Text column of an Arrow batch as Python bytes (None: null)."""
     return column.cast(pa.binary()).to_pylist()
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of bytes, as many as the greatest one needs."""
+    top = int(values.max()) if len(values) else 0
+    width = max(1, (top.bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    return np.ascontiguousarray(planes.T).tobytes()
+
+
+def unpack(raw: bytes, count: int) -> np.ndarray:
+    out = np.zeros((count, 8), np.uint8)
+    if count:
+        out[:, : len(raw) // count] = np.frombuffer(raw, np.uint8).reshape(-1, count).T
+    return out.view("<u8").ravel()
+
+
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of the ranges that divide all 64-bit keys evenly each key lies in."""
+    return ((keys >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+
+
+def by_block(batches, block: int):
+    """(block, its rows as one batch) of batches sorted by the block column."""
+    held: list = []
+    for batch in batches:
+        own = batch.column(block).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and held[0][0] != own[a]:
+                yield held[0][0], [part for _, part in held]
+                held = []
+            held.append((int(own[a]), batch.slice(a, b - a)))
+    if held:
+        yield held[0][0], [part for _, part in held]

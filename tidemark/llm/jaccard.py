@@ -26,14 +26,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U, WordHashes, binaries, hashed_words, mix, slices, written
+from tidemark.llm.common import U, bucket_count, by_block, drop_written, hashed_column, mix, pack, range_of, unpack, unused, written
 
 WORDS = 5
 STARS = 4  # passes by two representatives a bucket before buckets are searched whole
 WORK = 8  # a whole search begins once it makes at most so many pairs a bucket row
+RANGE = 2_000_000  # segment hashes that are counted at a time
 BITS = (20, 28)  # least and greatest log2 of the filter's bits, at most 32 MB
 
 
@@ -56,45 +58,55 @@ def segments_of(band: int) -> int:
     return need + (need + 3) // 4
 
 
-def shingles(text_hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes of one text's word hashes."""
-    n = len(text_hashes)
-    if n == 0:
-        return np.zeros(0, U)
-    size = min(words, n)
-    x = mix(text_hashes)
-    total = np.full(n - size + 1, U(size))
-    for k in range(size):
-        total = (total ^ x[k : n - size + 1 + k]) * U(0x9E3779B97F4A7C15)
-        total ^= total >> U(29)
-    return np.unique(mix(total))
-
-
-def sets_of(texts: list, cache: WordHashes):
-    """The shingle set of each text."""
-    flat, counts = hashed_words(texts, cache)
-    end = np.cumsum(counts)
-    for e, c in zip(end, counts, strict=True):
-        yield shingles(flat[e - c : e])
-
-
-def class_of(own: np.ndarray) -> int:
-    """64-bit name of a set, whatever its order; 0 for the empty set."""
-    if not len(own):
-        return 0
-    total = np.array([mix(own ^ U(0x632BE59BD9B4E019)).sum(dtype=U), U(len(own))])
+SEGMENTS = np.array([segments_of(b) for b in range(len(BANDS))], np.int64)
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text, one text after another, and their numbers."""
+    flat, n = hashed_column(texts)
+    x = mix(flat)
+    starts = np.cumsum(n) - n
+    size = np.minimum(n, words)
+    count = np.where(n > 0, n - size + 1, 0)
+    total = np.repeat(size.astype(U), count)
+    place = np.arange(len(total)) - np.repeat(np.cumsum(count) - count - starts, count)
+    wide = np.repeat(size, count)
+    all_whole = bool((wide == words).all())
+    for k in range(words):
+        some = slice(None) if all_whole else np.flatnonzero(wide > k)
+        step = (total[some] ^ x[place[some] + k]) * U(0x9E3779B97F4A7C15)
+        total[some] = step ^ (step >> U(29))
     total = mix(total)
-    return int(mix(total[:1] ^ (total[1:] * U(3)))[0].astype(np.int64))
-
-
-def signatures(own: np.ndarray, band: int) -> np.ndarray:
-    """One hash a segment of the band's partition: of the shingles that fall into it, in any order."""
-    m = segments_of(band)
-    x = mix(own ^ U(band * 0x9E3779B9 + 1))
-    at = ((x >> U(32)) * U(m) >> U(32)).astype(np.int64)
-    sums = np.zeros(m, U)
+    ends = np.cumsum(count)
+    for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True):
+        total[a:b].sort()
+    first = np.ones(len(total), bool)
+    first[1:] = total[1:] != total[:-1]
+    first[(ends - count)[count > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(first)])
+    return total[first], kept[ends] - kept[ends - count]
+
+
+def classes_of(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit name of each set, whatever its order; 0 for the empty set."""
+    sums = np.concatenate([[U(0)], np.cumsum(mix(flat ^ U(0x632BE59BD9B4E019)), dtype=U)])
+    ends = np.cumsum(n)
+    total = mix(sums[ends] - sums[ends - n])
+    return np.where(n > 0, mix(total ^ mix(n.astype(U)) * U(3)), U(0)).view(np.int64)
+
+
+def signatures(flat: np.ndarray, n: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, number a set): a hash of the shingles in each segment of the set's partition, in any order."""
+    m = SEGMENTS[band]
+    starts = np.cumsum(m) - m
+    doc = np.repeat(np.arange(len(n)), n)
+    x = mix(flat ^ (band.astype(U) * U(0x9E3779B9) + U(1))[doc])
+    at = ((x >> U(32)) * m.astype(U)[doc] >> U(32)).astype(np.int64) + starts[doc]
+    sums = np.zeros(int(m.sum()), U)
     np.add.at(sums, at, mix(x))
-    return mix(sums ^ mix(np.arange(m, dtype=U) + U((band + 1) << 32)))
+    nth = np.arange(len(sums)) - np.repeat(starts, m)
+    salt = nth.astype(U) + (np.repeat(band, m).astype(U) + U(1) << U(32))
+    return mix(sums ^ mix(salt)), m
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -102,46 +114,112 @@ def sizes(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
-            raw = binaries(batch.column(1))
-            n, cid = [], []
-            for a, b in slices(raw):
-                for own in sets_of(raw[a:b], cache):
-                    n.append(len(own))
-                    cid.append(class_of(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64())], ["doc_id", "n", "cid"])
+            for part in text_slices(batch, 1):
+                flat, n = shingle_sets(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(classes_of(flat, n))], ["doc_id", "n", "cid"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cid long")
 
 
-def entries(docs: DataFrame, known=None) -> DataFrame:
-    """(sig, cid, n, own): segment hashes of each class in its own band and the next; known: filter of the hashes wanted."""
+def text_slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 22):
+    """Slices of a batch of about `limit` bytes of text."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = (np.cumsum(size) - size) // limit
+    cuts = [0, *(np.flatnonzero(upto[1:] != upto[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
-    def run(batches):
-        cache = WordHashes()
-        bits = known.value if known is not None else None
+
+def chosen(docs: DataFrame, needed: DataFrame, count: int):
+    """Filter of the rows of docs (key, text) by the document ids in needed (rep): a few others pass too."""
+    keyed = needed.select(F.xxhash64("rep").alias("key"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(keyed, "key", count << 3))
+    rows = docs.select(F.xxhash64("doc_id").alias("key"), "text")
+
+    def sets(batches):
+        """(names, shingles, numbers) of the sets of some rows."""
         for batch in batches:
-            raw = binaries(batch.column(0))
-            for a, b in slices(raw, 1 << 20):
-                sig, cid, n, mine = [], [], [], []
-                for own in sets_of(raw[a:b], cache):
-                    band = int(np.searchsorted(FIRST, len(own), "right")) - 1 if len(own) else 0
-                    if len(own) < 4:  # 2n/9 < 1 for any partner: only equal sets link
-                        continue
-                    name = class_of(own)
-                    for k in (band, band + 1):
-                        s = signatures(own, k)
-                        if bits is not None:
-                            s = s[contains(bits, s)]
-                        sig.append(s)
-                        cid.append(np.full(len(s), name, np.int64))
-                        n.append(np.full(len(s), len(own), np.int64))
-                        mine.append(np.full(len(s), k == band))
-                if sig:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(cid)), pa.array(np.concatenate(n)), pa.array(np.concatenate(mine))], ["sig", "cid", "n", "own"])
-
-    return docs.select("text").mapInArrow(run, "sig long, cid long, n long, own boolean")
+            key = batch.column(0).to_numpy(zero_copy_only=False).view(U)
+            for part in text_slices(batch.filter(pa.array(contains(bits.value, key))), 1):
+                flat, n = shingle_sets(part.column(1))
+                yield classes_of(flat, n), flat, n
+
+    return rows, sets
+
+
+def segment_rows(sets, batches):
+    """(set number, name, size, own band?, signatures, their set numbers) of sets that may link with others than their equals."""
+    for cid, flat, n in sets(batches):
+        enough = n >= 4  # 2n/9 < 1 for any partner otherwise: only equal sets link
+        flat, cid, n = flat[np.repeat(enough, n)], cid[enough], n[enough]
+        if not len(n):
+            continue
+        band = np.searchsorted(FIRST, n, "right") - 1
+        for step in (0, 1):
+            sig, m = signatures(flat, n, band + step)
+            yield cid, n, step == 0, sig, np.repeat(np.arange(len(n)), m)
+
+
+def shared(rows: DataFrame, sets, entries_: int) -> DataFrame:
+    """(sig, cost): segment hashes that several classes have, and how many. Hashes travel sorted and packed, by range."""
+    ranges = bucket_count(entries_, RANGE)
+
+    def packed(sigs):
+        keys, count = np.unique(np.concatenate(sigs), return_counts=True)
+        cuts = np.searchsorted(range_of(keys, ranges), np.arange(ranges + 1))
+        own = [(r, a, b) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        for k in range(0, len(own), 256):
+            part = own[k : k + 256]
+            columns = (
+                pa.array([r for r, _, _ in part], pa.int32()),
+                pa.array([b - a for _, a, b in part], pa.int32()),
+                pa.array([keys[a].item() - (1 << 63) for _, a, _ in part], pa.int64()),
+                pa.array([pack(np.diff(keys[a:b], prepend=keys[a])) for _, a, b in part], pa.binary()),
+                pa.array([pack(count[a:b]) for _, a, b in part], pa.binary()),
+            )
+            yield pa.RecordBatch.from_arrays(list(columns), ["range", "n", "first", "keys", "counts"])
+
+    def emit(batches):
+        held, size = [], 0
+        for _, _, _, sig, _ in segment_rows(sets, batches):
+            held.append(sig)
+            size += len(sig)
+            if size >= RANGE:
+                yield from packed(held)
+                held, size = [], 0
+        if held:
+            yield from packed(held)
+
+    def merge(batches):
+        for _, parts in by_block(batches, 0):
+            keys, counts = [], []
+            for part in parts:
+                for n, f, k, c in zip(*(part.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                    keys.append(np.cumsum(unpack(k, n), dtype=U) + U(f + (1 << 63)))
+                    counts.append(unpack(c, n).astype(np.int64))
+            keys, counts = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            total = np.add.reduceat(counts, first)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first][total > 1].view(np.int64)), pa.array(total[total > 1])], ["sig", "cost"])
+
+    dealt = rows.mapInArrow(emit, "range int, n int, first long, keys binary, counts binary").repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
+    return dealt.mapInArrow(merge, "sig long, cost long")
+
+
+def members_of(rows: DataFrame, sets, known) -> DataFrame:
+    """(sig, cid, n, own): the segment hashes of each class, in its own band and the next, that pass the filter known."""
+
+    def run(batches):
+        for cid, n, own, sig, at in segment_rows(sets, batches):
+            keep = contains(known.value, sig)
+            at = at[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(cid[at]), pa.array(n[at].astype(np.int64)), pa.array(np.full(len(at), own))], ["sig", "cid", "n", "own"])
+
+    return rows.mapInArrow(run, "sig long, cid long, n long, own boolean")
 
 
 def contains(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -162,23 +240,15 @@ def bit_filter(values: DataFrame, column: str, count: int) -> np.ndarray:
 
 
 def candidate_sets(docs: DataFrame, needed: DataFrame, count: int) -> DataFrame:
-    """(cid, set) of the classes in needed (cid, rep): each set is read from one document."""
-    spark = docs.sparkSession
-    keyed = needed.select("cid", F.xxhash64("rep").alias("key"))
-    bits = spark.sparkContext.broadcast(bit_filter(keyed, "key", count))
+    """(cid, set) of the classes in needed (cid, rep), a few of them more than once, and few others."""
+    rows, sets = chosen(docs, needed, count)
 
     def run(batches):
-        cache = WordHashes()
-        for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False).view(U)
-            raw = batch.filter(pa.array(contains(bits.value, key)))
-            texts = binaries(raw.column(1))
-            for a, b in slices(texts, 1 << 20):
-                own = list(sets_of(texts[a:b], cache))
-                yield pa.RecordBatch.from_arrays([raw.column(0)[a:b], pa.array([class_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["key", "cid", "set"])
+        for cid, flat, n in sets(batches):
+            cuts = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array([flat[b - a : b].tobytes() for a, b in zip(n.tolist(), cuts.tolist(), strict=True)], pa.binary())], ["cid", "set"])
 
-    found = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "key long, cid long, set binary")
-    return written(found.join(keyed, ["key", "cid"], "left_semi").groupBy("cid").agg(F.first("set").alias("set")))
+    return written(rows.mapInArrow(run, "cid long, set binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -194,7 +264,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,24 +272,32 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
     while True:
+        before = labels
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("least"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "least").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("root").alias("over"))
-        new = written(step.join(jump, "to").select("node", "old", F.least("to", "over").alias("root")))
+        new = written(step.join(jump, "to").select("node", "old", F.least("to", "over").alias("root")), before)
         labels = new.select("node", "root")
         if new.where("old <> root").isEmpty():
+            drop_written(both)
             return labels
 
 
 def links(docs: DataFrame, all_sizes: DataFrame) -> DataFrame | None:
     """(node, root) of the classes that link with another class; None where no bucket holds two."""
     spark = docs.sparkSession
-    hits = written(entries(docs).groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("cost")).where("lo <> hi").select("sig", "cost"))
+    reps = written(all_sizes.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+    count, total = reps.agg(F.count("*"), F.sum("n")).first()
+    if not count:
+        return None
+    texts, sets_ = chosen(docs, reps, count)  # of each class, one document
+    hits = written(shared(texts, sets_, int(total) * 5 // 8 + count))
     n_hits = hits.count()
     if n_hits == 0:
         return None
     bits = spark.sparkContext.broadcast(bit_filter(hits, "sig", n_hits))
-    rows = written(entries(docs, bits).distinct().join(hits, "sig"))
+    rows = written(members_of(texts, sets_, bits).distinct().join(hits, "sig"), hits)
+    bits.unpersist()
     # Cost-based choice: a class needs floor(2n/9)+1 segments; those without company are free.
     top = int(rows.agg(F.max("n")).first()[0])
     segments = F.lit(0)
@@ -232,7 +310,6 @@ def links(docs: DataFrame, all_sizes: DataFrame) -> DataFrame | None:
     probes = written(mine.where(F.col("_rank") <= need).select("sig", "cid", "n"))
 
     edges = tried = sets = labels = None
-    reps = all_sizes.groupBy("cid").agg(F.min("doc_id").alias("rep"))
     for turn in range(STARS + 1):
         if labels is None:
             members, asking = rows.withColumn("root", F.col("cid")), probes.withColumn("root", F.col("cid"))
@@ -241,7 +318,8 @@ def links(docs: DataFrame, all_sizes: DataFrame) -> DataFrame | None:
             members = rows.join(labels, F.col("cid") == F.col("node"), "left").select("sig", "cid", "n", root)
             asking = probes.join(labels, F.col("cid") == F.col("node"), "left").select("sig", "cid", "n", root)
             open_ = members.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("size")).where("_lo <> _hi").select("sig", "size")
-            members, asking = written(members.join(open_.drop("size"), "sig", "left_semi")), written(asking.join(open_, "sig"))
+            spent = [members_, asking_] if turn > 1 else []
+            members_, asking_ = members, asking = written(members.join(open_.drop("size"), "sig", "left_semi")), written(asking.join(open_, "sig"), *spent)
             work = asking.agg(F.sum("size")).first()[0]
             if not work:
                 break
@@ -259,7 +337,7 @@ def links(docs: DataFrame, all_sizes: DataFrame) -> DataFrame | None:
         pairs = pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if sets is None:  # every class that asks or is asked
-            wanted = written(rows.select("cid").distinct().join(reps, "cid"))
+            wanted = written(rows.select("cid").distinct().join(reps.select("cid", "rep"), "cid"))
             sets = candidate_sets(docs, wanted, wanted.count())
         found = written(verified(pairs, sets))
         tried = pairs if tried is None else tried.unionAll(pairs)
@@ -292,5 +370,6 @@ def join(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the smallest id; all columns stay."""
-    kept = join(docs).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    name = unused("_kept", docs)
+    kept = join(docs.select("doc_id", "text")).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

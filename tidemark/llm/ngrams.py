@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U, bucket_count, hashed_column, mix, text_bytes, written
+from tidemark.llm.common import U, bucket_count, by_block, hashed_column, mix, pack, range_of, text_bytes, unpack, written
 
 ORDER = 2
 PRIOR = 30.0  # m: how much a shorter context counts
@@ -49,21 +49,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers as planes of bytes, as many as the greatest one needs."""
-    top = int(values.max()) if len(values) else 0
-    width = max(1, (top.bit_length() + 7) // 8)
-    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
-    return np.ascontiguousarray(planes.T).tobytes()
-
-
-def unpack(raw: bytes, count: int) -> np.ndarray:
-    out = np.zeros((count, 8), np.uint8)
-    if count:
-        out[:, : len(raw) // count] = np.frombuffer(raw, np.uint8).reshape(-1, count).T
-    return out.view("<u8").ravel()
-
-
 class Grams:
     """The n-grams of a block's texts: sorted distinct keys, and each token's place among them by order.
 
@@ -130,10 +115,6 @@ class Grams:
         return np.searchsorted(range_of(self.keys, ranges), np.arange(ranges + 1))
 
 
-def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return ((keys >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
-
-
 class Automaton:
     """The slice of the automaton that one block's texts can walk; states and words are numbers.
 
@@ -225,23 +206,6 @@ class Automaton:
         return state
 
 
-def by_block(batches, block: int):
-    """(block, its rows as one batch) of batches sorted by the block column."""
-    held: list = []
-    for batch in batches:
-        own = batch.column(block).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            if held and held[0][0] != own[a]:
-                yield held[0][0], [part for _, part in held]
-                held = []
-            held.append((int(own[a]), batch.slice(a, b - a)))
-    if held:
-        yield held[0][0], [part for _, part in held]
-
-
 def asked(rows: DataFrame, n_blocks: int, ranges: int, order: int) -> DataFrame:
     """(range, block, n, keys, counts): the packed n-grams of each block by range of their hashes."""
 
