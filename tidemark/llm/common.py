@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-SHORT = 2.0  # seconds
+SHORT = 0.6  # seconds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -308,6 +308,7 @@ def links(docs: DataFrame, all_sizes: DataFrame) -> DataFrame | None:
     mine = mine.withColumn("_rank", F.row_number().over(by_cost)).withColumn("_hot", F.count("*").over(Window.partitionBy("cid")))
     need = F.floor(2 * F.col("n") / 9) + 1 - (segments - F.col("_hot"))
     probes = written(mine.where(F.col("_rank") <= need).select("sig", "cid", "n"))
+    rows = written(rows.join(probes.select("sig").distinct(), "sig", "left_semi"), rows)  # no other bucket is looked into
 
     edges = tried = sets = labels = None
     for turn in range(STARS + 1):

@@ -20,7 +20,10 @@ earliest line of its buckets, and what is settled asks no more. Lines still open
 buckets hold others meet these by rare q-grams: of lines within `EDITS` edits, each
 lacks at most `EDITS` * `GRAM` distinct q-grams of the other, so in any one order of all
 q-grams the first `EDITS` * `GRAM` + 1 of both have one in common; the order is by
-frequency, rare ones first. A popular line or template thus costs one comparison a line,
+frequency, rare ones first. One of those common q-grams is where it was but for
+`EDITS` places, so q-grams that both lines have once must be near in place. An edit
+takes and adds two pairs of neighbouring characters at most, so the parities of their
+counts in `PARITIES` bins differ in at most 4 `EDITS` bins. A popular line or template thus costs one comparison a line,
 and its variants meet only those that share what is rare in them.
 
 Defined results: null and empty texts have no lines and stay as they are; a text may
@@ -44,6 +47,7 @@ from tidemark.llm.jaccard import bit_filter, contains
 EDITS = 2
 MIN_CHARS = 30
 GRAM = 4  # characters of a q-gram
+PARITIES = 256  # bins of pairs of characters
 COUNTERS = 1 << 20  # of q-grams by hash, whatever the input
 BASE = 0x9E3779B97F4A7C15
 
@@ -153,17 +157,29 @@ class Text:
                         yield own, self.signatures(own, at[own], size[own], length[own], i), d == 0 and k == 0
 
     def grams(self):
-        """(line, hash) of the distinct q-grams of all lines, sorted by line; a line shorter than one is one."""
+        """(line, hash, place) of the distinct q-grams of all lines, sorted by line; place -1: there are several; a line shorter than one is one."""
         size = np.minimum(self.length, GRAM)
         count = self.length - size + 1
         line = np.repeat(np.arange(len(count)), count)
         at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
         value = mix(self.hashes(self.start[line] + at, size[line]))
         order = np.lexsort((value, line))
-        line, value = line[order], value[order]
+        line, value, at = line[order], value[order], at[order]
         first = np.ones(len(line), bool)
         first[1:] = (line[1:] != line[:-1]) | (value[1:] != value[:-1])
-        return line[first], value[first]
+        alone = np.ones(len(line), bool)
+        alone[:-1] = first[1:]
+        return line[first], value[first], np.where(alone, at, -1)[first]
+
+
+    def parities(self) -> np.ndarray:
+        """(lines, PARITIES / 64): bits that tell whether a bin's pairs of neighbouring characters are odd in number."""
+        count = np.maximum(self.length - 1, 0)
+        line = np.repeat(np.arange(len(count)), count)
+        at = self.start[line] + np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+        bins = (mix(self.hashes(at, np.full(len(at), 2))) % U(PARITIES)).astype(np.int64)
+        odd = np.bincount(line * PARITIES + bins, minlength=len(count) * PARITIES).astype(np.uint8) & 1
+        return np.packbits(odd.reshape(-1, PARITIES), axis=1).view(np.int64)
 
 
 def parts_of(batch: pa.RecordBatch, column: int, limit: int = 1 << 20):
@@ -267,7 +283,7 @@ def by_rare_grams(lines: DataFrame) -> DataFrame:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, own in parts_of(batch, 0):
-                _, value = Text(own).grams()
+                _, value, _ = Text(own).grams()
                 total += np.bincount((value % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
@@ -281,9 +297,11 @@ def by_rare_grams(lines: DataFrame) -> DataFrame:
         often, lacks = shipped.value, EDITS * GRAM
         for batch in batches:
             for start, own in parts_of(batch, 2):
-                line, value = Text(own).grams()
+                text = Text(own)
+                line, value, place = text.grams()
+                odd = text.parities()
                 order = np.lexsort((value, often[(value % U(COUNTERS)).astype(np.int64)], line))
-                line, value = line[order], value[order]
+                line, value, place = line[order], value[order], place[order]
                 count = np.bincount(line, minlength=len(own))
                 nth = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
                 keep = nth <= lacks
@@ -291,14 +309,21 @@ def by_rare_grams(lines: DataFrame) -> DataFrame:
                 few = np.flatnonzero(count <= 2 * lacks)
                 line = np.concatenate([line[keep], few])
                 value = np.concatenate([value[keep], np.zeros(len(few), U)])
+                place = np.concatenate([place[keep], np.full(len(few), -1)])
                 at = pa.array(line + start)
                 size = np.fromiter(map(len, own), np.int64, len(own))[line]
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(size), *(batch.column(k).take(at) for k in (0, 1, 3))], ["gram", "size", "lid", "o", "asks"])
-
-    rows = lines.select("lid", "o", "line", "asks").mapInArrow(rare, f"gram long, size long, lid long, o {kind}, asks boolean")
-    asks = rows.where("asks").select("gram", F.explode(F.sequence(F.col("size") - EDITS, F.col("size") + EDITS)).alias("size"), "lid", "o")
-    earlier = rows.select("gram", "size", F.col("lid").alias("other"), F.col("o").alias("_o"))
-    return asks.join(earlier, ["gram", "size"]).where(F.struct("_o", "other") < F.struct("o", "lid")).select("lid", "other").distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(size), pa.array(place), *(batch.column(k).take(at) for k in (0, 1, 3)), *(pa.array(odd[line, k]) for k in range(odd.shape[1]))], names)
+
+    bits = [f"odd{k}" for k in range(PARITIES // 64)]
+    names = ["gram", "size", "place", "lid", "o", "asks", *bits]
+    rows = lines.select("lid", "o", "line", "asks").mapInArrow(rare, f"gram long, size long, place long, lid long, o {kind}, asks boolean, {', '.join(f'{b} long' for b in bits)}")
+    asks = rows.where("asks").select("gram", F.explode(F.sequence(F.col("size") - EDITS, F.col("size") + EDITS)).alias("size"), "place", "lid", "o", *bits)
+    earlier = rows.select("gram", "size", F.col("place").alias("_place"), F.col("lid").alias("other"), F.col("o").alias("_o"), *[F.col(b).alias(f"_{b}") for b in bits])
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"_{b}"))) for b in bits), F.lit(0))
+    there = (F.least("place", "_place") < 0) | (F.abs(F.col("place") - F.col("_place")) <= EDITS)
+    both = (F.col("gram") == F.col("_gram")) & (F.col("size") == F.col("_size"))
+    earlier = earlier.withColumnsRenamed({"gram": "_gram", "size": "_size"})
+    return asks.join(earlier, both & there & (apart <= 4 * EDITS) & (F.struct("_o", "other") < F.struct("o", "lid"))).select("lid", "other").distinct()
 
 
 def dropped(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
