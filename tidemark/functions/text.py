@@ -10,7 +10,7 @@ DROPPED = "[‘’‚‛'`´.]"
 
 
 def first_line(text: Column) -> Column:
-    return F.trim(F.split(F.trim(text), "\n")[0])
+    return F.trim(F.substring_index(F.trim(text), "\n", 1))
 
 
 def title_key(title: Column) -> Column:
@@ -25,19 +25,3 @@ def is_minor(old: Column, new: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:]+)", 1))
-
-
-def site(host_: Column) -> Column:
-    """Registrable domain by its last two labels."""
-    return F.regexp_extract(host_, r"([^.]+\.[^.]+)$", 1)
-
-
-def link_key(url: Column) -> Column:
-    """A link without scheme, fragment, query, one www./m./amp./mobile. prefix and closing slashes."""
-    x = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[a-zA-Z]+://", "")
-    path = F.regexp_extract(x, r"^[^/]*(.*)$", 1)
-    return F.concat(F.regexp_replace(host(url), r"^(www|amp|m|mobile)\.", ""), F.regexp_replace(path, r"/+$", ""))

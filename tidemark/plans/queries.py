@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import host, link_key, site, tokens
+from tidemark.functions.text import tokens
 from tidemark.operators import history
+from tidemark.plans.sql import REVISIONS
 from tidemark.sources.views import articles, fetch_log, table, versions
 
 QUERIES: dict = {}
@@ -23,15 +24,11 @@ def query(sql: str | None = None):
     return keep
 
 
-KEY = """trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(title),'ß','ss'),'[‘’‚‛''`´.]','','g'),'[^\\p{L}\\p{N}_\\s]',' ','g'),'\\s+',' ','g'))"""
 ARTICLES = """articles as (select doc_id as id, source, trim(string_split(trim(text),chr(10))[1]) as title, lang as tag,
   timestamp '2024-01-01 00:00:00' + doc_id * interval 1 minute as seen_at from documents)"""
-VERSIONS = f"""{ARTICLES}, versions as (select *, array_to_string(string_split(content_key,' ')[1:4],' ') as article_key from (select *, {KEY} as content_key from articles))"""
-REVISIONS = f"""{VERSIONS}, seen as (select article_key, title, min(id) as id from versions group by all),
-revisions as (select v.article_key, v.title, v.id, v.source, v.tag, v.seen_at, v.content_key, lag(v.title) over w as prev_title,
-  lag(v.content_key) over w as prev_key, row_number() over w as revision from seen join versions v using (id)
-  window w as (partition by v.article_key order by v.id))"""
-LOG = """log as (select user_id as source, ts as started_at, event_id as id, case event_type when 'error' then 'error' when 'signup' then 'skipped' else 'ok' end as status,
+LOG = """log as (select 'Src' || user_id as source, date_trunc('hour', ts) + (event_id % 500) * interval 1 second as started_at, date_trunc('hour', ts) + (event_id % 500 + 2) * interval 1 second as finished_at,
+  event_id as id, case when event_type = 'error' or user_id % 9 = 0 then 'error' when event_type = 'signup' then 'skipped' else 'ok' end as status,
+  case when (event_type = 'error' or user_id % 9 = 0) and event_id % 2 = 0 then 'Temporary failure in name resolution' when event_type = 'error' or user_id % 9 = 0 then 'HTTP 503' end as error,
   cast(json_extract_string(props,'$.k') as bigint) as items_found, cast(floor(value) as bigint) as items_new from events)"""
 
 
@@ -114,16 +111,6 @@ def first_vs_rest(spark, sf_dir):
     return rows.agg(F.min("turn").alias("first_turn"), F.min_by("text", "turn").alias("first_text"), (F.count("*") - 1).alias("later"))
 
 
-@query(f"""with {LOG}, g as (select *, case when started_at > lag(started_at) over w + interval 2 hour or lag(started_at) over w is null then 1 else 0 end as opens
- from log window w as (partition by source order by started_at, id)), s as (select *, sum(opens) over (partition by source order by started_at, id rows unbounded preceding) as run from g)
- select source, min(started_at) as started, max(started_at) as ended, count(*) as attempts, count(*) filter (status = 'error') as failed, cast(sum(items_new) as bigint) as items_new from s group by source, run""")
-def fetch_runs(spark, sf_dir):
-    """Fetch attempts of a source, gathered into runs by gaps of two hours."""
-    runs = history.sessions(fetch_log(spark, sf_dir), "source", "started_at", "2 hours")
-    out = runs.agg(F.min("started_at").alias("started"), F.max("started_at").alias("ended"), F.count("*").alias("attempts"), F.count_if(F.col("status") == "error").alias("failed"), F.sum("items_new").alias("items_new"))
-    return out.drop("w")
-
-
 @query(f"""with {LOG} select source, count(*) as attempts, max(started_at) filter (status = 'ok') as last_ok, max_by(status, (started_at, id)) as last_status,
  cast(sum(items_new) filter (status = 'ok') as bigint) as items_new from log group by source""")
 def source_status(spark, sf_dir):
@@ -136,37 +123,6 @@ def source_status(spark, sf_dir):
     )
 
 
-@query(f"""with {LOG}, r as (select *, row_number() over (partition by source order by started_at desc, id desc) as rank from log)
- select source, count(*) as n from r where rank <= 3 group by source having count(*) = 3 and bool_and(status = 'error')""")
-def failing_streaks(spark, sf_dir):
-    last = history.last_statuses(fetch_log(spark, sf_dir), 3).groupBy("source")
-    return last.agg(F.count("*").alias("n"), F.every(F.col("status") == "error").alias("bad")).where("n = 3 and bad").drop("bad")
-
-
-@query(f"""with {LOG}, f as (select source, min((started_at, id)) as first from log group by source), k as (select log.* from log join f using (source) where (started_at, id) <> first)
- select source, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'error') as failed, count(*) filter (status = 'skipped') as skipped,
- count(*) filter (status = 'ok' and items_found > 0 and items_new >= items_found) as all_new from k group by source""")
-def feed_turnover(spark, sf_dir):
-    """Attempts by outcome, each source's first attempt left out."""
-    log = fetch_log(spark, sf_dir)
-    first = log.groupBy("source").agg(F.min(F.struct("started_at", "id")).alias("_first"))
-    rows = log.join(first, "source").where(F.struct("started_at", "id") != F.col("_first"))
-    status = F.col("status")
-    return rows.groupBy("source").agg(
-        F.count_if(status == "ok").alias("ok"),
-        F.count_if(status == "error").alias("failed"),
-        F.count_if(status == "skipped").alias("skipped"),
-        F.count_if((status == "ok") & (F.col("items_found") > 0) & (F.col("items_new") >= F.col("items_found"))).alias("all_new"),
-    )
-
-
-@query(r"""with u as (select page_id, url, lower(regexp_extract(url,'^[a-zA-Z]+://([^/?#:]+)',1)) as host, regexp_replace(regexp_replace(url,'[?#].*$',''),'^[a-zA-Z]+://','') as rest from pages)
- select page_id, host, regexp_extract(host,'([^.]+\.[^.]+)$',1) as site, regexp_replace(host,'^(www|amp|m|mobile)\.','') || regexp_replace(regexp_extract(rest,'^[^/]*(.*)$',1),'/+$','') as link_key from u""")
-def link_keys(spark, sf_dir):
-    url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", host(url).alias("host"), site(host(url)).alias("site"), link_key(url).alias("link_key"))
-
-
 @query(f"""with {ARTICLES}, t as (select id, unnest(regexp_extract_all(lower(title),'[\\p{{L}}\\p{{N}}]+')) as term from articles)
  select term, count(distinct id) as df, count(*) as cf from t group by term""")
 def term_frequency(spark, sf_dir):
