@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 from tidemark.operators import history
-from tidemark.plans import ingest, newsroom, stories  # noqa: F401  (they register their queries)
+from tidemark.plans import ingest, newsroom, reports, stories  # noqa: F401  (they register their queries)
 from tidemark.plans import queries as library
 
 SF = "/root/testdata/sf0.001"
