@@ -96,6 +96,43 @@ def test_stories_equal_one_ordered_pass_over_all(spark):
     assert any(len(s.members) > 1 for s in found)
 
 
+STORIES = "id long, title string, summary string, url string, is_live boolean, at timestamp"
+
+
+def test_stories_are_found_in_few_jobs_however_long_a_chain_of_words(spark):
+    rows = [(i, f"alpha{i} alpha{i + 1}", None, "https://a.com/x", False, T + timedelta(hours=30 * i)) for i in range(40)]
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = stories.cluster(spark.createDataFrame(rows, STORIES)).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["id"] for r in got) == list(range(40)) and {r["story"] for r in got} == {0}
+    assert jobs <= 20
+
+
+def test_open_stories_are_those_of_the_window_and_equal_the_plain_pass(spark):
+    draw = __import__("random").Random(5)
+    words, at, vectors, titles = [f"w{k}" for k in range(40)], [], [], []
+    when = T
+    for k in range(1500):
+        when += timedelta(minutes=draw.choice([0, 20, 40, 400]) if k % 90 else 36 * 60 + draw.randrange(2))
+        own = sorted(draw.sample(words, draw.randrange(0, 9))) if k % 7 or not vectors else sorted(vectors[-draw.randrange(1, min(9, len(vectors)) + 1)])
+        norm = len(own) ** 0.5 or 1.0
+        at.append(when)
+        vectors.append({w: 1 / norm for w in own})
+        titles.append({w for w in own if draw.random() < 0.7})
+    held, got, most = stories.Open(), {}, 0
+    for k, (a, vector, own) in enumerate(zip(at, vectors, titles, strict=True)):
+        micros = int((a - T).total_seconds()) * 10**6
+        got |= {i: s for i, s, _ in held.over(micros)}
+        held.take(k, micros, vector, own, False)
+        assert all(micros - last <= 36 * 3600 * 10**6 for last in held.last.values())
+        most = max(most, len(held.last))
+    got |= {i: s for i, s, _ in held.over()}
+    plain = stories.lead_by_order([__import__("pandas").Timestamp(a) for a in at], vectors, titles)
+    assert got == {m: s.members[0] for s in plain for m in s.members}
+    assert not (held.weight or held.titled or held.words or held.members) and 1 < most < len(plain) / 4
+
+
 def reading(i, source, title, day, url=None):
     return i, source, title, url or f"https://{source}.com/{i}", T + timedelta(days=day), None, False
 
