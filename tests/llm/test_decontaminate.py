@@ -57,3 +57,13 @@ def test_longest_consistent_part_equals_brute_force():
         )
         parts = [(b - a, mine[a:b] == theirs[a:b]) for a in range(n) for b in range(a + 1, n + 1) if sure(a, b)]
         assert decontaminate.consistent(kinds, mine, theirs) == max(parts, default=(0, False))
+
+
+def test_texts_are_not_shuffled_to_drop_a_few_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 200")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100KB")  # of the texts' columns, not of the ids found
+    try:
+        plan = decontaminate.decontaminate(docs, spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -24,6 +24,8 @@ document row gives a row for each; documents are read whole.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -31,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import U, binaries, mix, slices
+from tidemark.llm.common import U, binaries, mix, slices, written
 
 WINDOW = 8
 MIN_LITERALS = 4
 MIN_RUN = 13
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 32_000_000
+SLICE = 1 << 20  # bytes of text that are looked up at a time
 
 # Units that may follow a number.
 UNITS = set("""
@@ -48,7 +51,7 @@ UNITS = set("""
 
 NUMBER, NAME, UNIT = 1, 2, 3
 TEMPLATES = 3
-CAPITAL, ENDS, DIGIT, MEASURE = 1, 2, 4, 8
+CAPITAL, ENDS, DIGIT, MEASURE, WORD = 1, 2, 4, 8, 16
 STRIP = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 NUMBER_WORD = regex.compile(r"^\p{N}[\p{N}.,:/%-]*$")
 
@@ -56,20 +59,20 @@ NUMBER_WORD = regex.compile(r"^\p{N}[\p{N}.,:/%-]*$")
 class Tokens(dict):
     """Small integer of each distinct raw token; rows of the tables beside it tell its form."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 18
 
     def __init__(self):
         super().__init__()
         self.words: list[str] = []
-        self.hashes: list[int] = []
-        self.flags: list[int] = []
+        self.hashes = array("Q")
+        self.flags = array("B")
 
     def __missing__(self, raw: str) -> int:
         import xxhash
 
         word = STRIP.sub("", raw)
         low = word.casefold()
-        flags = 0
+        flags = WORD if word else 0
         if word[:1].isupper():
             flags |= CAPITAL
         if raw[-1] in ".!?:" or (not word):
@@ -107,7 +110,7 @@ def template(texts: list, tokens: Tokens):
     begins[1:] = (form[:-1] & ENDS) > 0
     starts = np.cumsum(counts) - counts
     begins[starts[counts > 0]] = True
-    word = np.array([bool(w) for w in tokens.words], bool)[ids] if len(ids) else np.zeros(0, bool)
+    word = (form & WORD) > 0
     doc = np.repeat(np.arange(len(texts)), counts)
     ids, own, form, begins, doc = ids[word], own[word], form[word], begins[word], doc[word]
     digit, capital = (form & DIGIT) > 0, (form & CAPITAL) > 0
@@ -283,7 +286,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 raw = binaries(batch.column(1))
                 found = []
-                for a, b in slices(raw):
+                for a, b in slices(raw, SLICE):
                     texts = [None if t is None else t.decode("utf-8", "replace") for t in raw[a:b]]
                     found += [(a + d, index.items[item], n, of, bool(same)) for d, item, n, of, same in leaks_of(index, texts, tokens)]
                 rows = pa.array([f[0] for f in found], pa.int64())
@@ -297,5 +300,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item; all columns stay."""
-    held = leaks(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct()
+    # Written first, so that no text is shuffled while it is searched, nor afterwards where the ids are few enough to be broadcast.
+    held = written(leaks(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct())
     return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_held")), "left_anti")

@@ -373,4 +373,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the smallest id; all columns stay."""
     name = unused("_kept", docs)
     kept = join(docs.select("doc_id", "text")).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    return docs.join(written(kept), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")  # few ids are broadcast, no text is shuffled then
