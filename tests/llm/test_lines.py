@@ -121,3 +121,17 @@ def test_equal_short_lines_go_in_query_and_pipeline(spark, tmp_path):
     left = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     texts = dict(rows)
     assert {r["doc_id"] for r in left.collect()} == {i for i, t in want.items() if t == texts[i] or t.strip()}
+
+
+def test_texts_of_lines_leave_the_shared_folder(spark, tmp_path, monkeypatch):
+    import uuid
+
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/tidemark-{uuid.uuid4().hex}")
+    rng = random.Random(11)
+    stock = ["".join(rng.choice("abcdef gh") for _ in range(40)).strip() for _ in range(30)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(stock), rng.randrange(4)) for _ in range(5))) for i in range(40)]
+    got = {r["doc_id"]: r["text"] for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert [set(spark.read.parquet(str(p)).columns) for p in tmp_path.iterdir()] == [{"id", "places"}]

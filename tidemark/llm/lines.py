@@ -206,7 +206,6 @@ def near(lines: DataFrame) -> DataFrame:
     rows = lines.select("lid", "o", "line")
     kind = lines.schema["o"].dataType.simpleString()
     schema = f"sig long, lid long, o {kind}"
-    texts = lines.select("lid", "line")
 
     def sigs(batches):
         for batch in batches:
@@ -218,7 +217,8 @@ def near(lines: DataFrame) -> DataFrame:
             keep = [within(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["lid"]).filter(pa.array(keep, pa.bool_()))
 
-    def settled(pairs: DataFrame) -> DataFrame:
+    def settled(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        texts = texts.select("lid", "line")
         both = pairs.join(texts.withColumnRenamed("line", "x"), "lid").join(texts.select(F.col("lid").alias("other"), F.col("line").alias("y")), "other")
         return written(both.select("lid", "x", "y").mapInArrow(verify, "lid long").distinct())
 
@@ -258,22 +258,40 @@ def near(lines: DataFrame) -> DataFrame:
     wanted.unpersist()
     first = index.groupBy("sig").agg(F.min(member).alias("m"), F.count("*").alias("size"))
     hits = written(asks.join(first, "sig").where(F.col("m") < member).select("sig", "lid", "o", F.col("m.lid").alias("other"), "size"), asks)
-    gone = settled(hits.select("lid", "other").distinct())
+    texts = chosen(rows, hits.select("lid").unionAll(index.join(hits.select("sig").distinct(), "sig", "left_semi").select("lid")))
+    gone = settled(hits.select("lid", "other").distinct(), texts)
     # A bucket of one is done with its earliest line; others go on for the lines not yet settled.
     open_ = written(hits.where("size > 1").join(gone, "lid", "left_anti").select("sig", "lid"), hits)
     if open_.isEmpty():
-        drop_written(open_, index)
+        drop_written(open_, index, texts)
         return gone
     members = index.join(open_.select("sig").distinct(), "sig", "left_semi").select("lid")
     asking = open_.select("lid", F.lit(True).alias("asks"))
     involved = members.select("lid", F.lit(False).alias("asks")).unionAll(asking).groupBy("lid").agg(F.max("asks").alias("asks"))
-    involved = written(rows.join(involved, "lid"), open_, index)
+    involved = written(texts.join(involved, "lid"), open_, index)
     pairs = written(by_rare_grams(involved))
-    left = settled(pairs)
-    drop_written(involved, pairs)
+    left = settled(pairs, texts)
+    drop_written(involved, pairs, texts)
     return gone.unionAll(left)
 
 
+def chosen(lines: DataFrame, lids: DataFrame) -> DataFrame:
+    """The lines (lid, o, line) with one of the lids, and few others: no text of the rest is shuffled."""
+    lids = written(lids.distinct())
+    bits = lines.sparkSession.sparkContext.broadcast(bit_filter(lids.select(F.xxhash64("lid").alias("key")), "key", lids.count() << 3))
+    drop_written(lids)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.select(names).filter(pa.array(contains(bits.value, batch.column(0).to_numpy(zero_copy_only=False).view(U))))
+
+    names = ["lid", "o", "line"]
+    kind = lines.schema["o"].dataType.simpleString()
+    out = written(lines.select(F.xxhash64("lid").alias("key"), *names).mapInArrow(run, f"lid long, o {kind}, line string"))
+    bits.unpersist()
+    return out
+
+
 def by_rare_grams(lines: DataFrame) -> DataFrame:
     """(lid, other): pairs of a line (lid, o, line, asks) that asks and an earlier one, all those within EDITS edits among them."""
     spark = lines.sparkSession
@@ -335,7 +353,8 @@ def dropped(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     lost = first.join(gone, "lid").select("o")
     repeated = first.where("n > 1").select(*hashes, F.col("o").alias("_o"))
     copies = occurrences(docs, False, shortest).join(repeated, hashes).where("o <> _o").select("o")
-    return copies.unionAll(lost).groupBy("o.id").agg(F.collect_set("o.pos").alias("places"))  # a document's own lines at most
+    places = F.collect_set("o.pos").alias("places")  # a document's own lines at most
+    return written(copies.unionAll(lost).groupBy("o.id").agg(places), first, gone)
 
 
 def dedup(docs: DataFrame, shortest: int = MIN_CHARS) -> tuple[DataFrame, str, str]:
