@@ -361,7 +361,8 @@ def dedup(docs: DataFrame, shortest: int = MIN_CHARS) -> tuple[DataFrame, str, s
     """docs with text without the lines that go, and the names of two further columns: number of lines, of those dropped."""
     id_, places, n_lines, n_dropped = (unused(c, docs) for c in ("_id", "_places", "_n_lines", "_n_dropped"))
     gone = dropped(docs.select("doc_id", "text"), shortest).select(F.col("id").alias(id_), F.col("places").alias(places))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col(places).isNotNull(), "left")
+    # Half of all documents may lose lines, too many to broadcast: the texts are shuffled once, at any size.
+    rows = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)) & F.col(places).isNotNull(), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(places, s["i"]))
     text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
