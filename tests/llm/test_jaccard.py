@@ -49,3 +49,20 @@ def test_components_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sets_that_share_segments_but_cannot_link_are_not_verified(spark, monkeypatch):
+    rng, asked = random.Random(6), []
+    base = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(base[:180] + [f"d{i}x{k}" for k in range(120)])) for i in range(30)]
+    rows += [(100 + i, rows[i][1].replace(f"d{i}x{rng.randrange(120)} ", "z ")) for i in range(5)]
+    whole = jaccard.verified
+
+    def counted(pairs, sets):
+        asked.append(pairs.count())
+        return whole(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert 5 <= sum(asked) <= 10

@@ -13,7 +13,9 @@ with the fewest rows. A common passage therefore costs nothing to most documents
 Pairs of one bucket are never all formed at once: each class is first compared with
 two classes of each of its buckets, what links becomes one component, and only
 buckets that still hold several components are searched on, across components alone.
-Every candidate is verified on the whole sets. No class is left out by this, so the
+A candidate is verified on the whole sets, unless the
+parities of their numbers of shingles in `PARITIES` bins show more shingles of one set
+alone than a link allows, a condition that all links meet. No class is left out by this, so the
 components are those of the complete link graph.
 
 Defined results: null and empty texts have size 0 and are their own component; fewer
@@ -36,6 +38,7 @@ WORDS = 5
 STARS = 4  # passes by two representatives a bucket before buckets are searched whole
 WORK = 8  # a whole search begins once it makes at most so many pairs a bucket row
 RANGE = 2_000_000  # segment hashes that are counted at a time
+PARITIES = 512  # bins of shingles
 BITS = (20, 28)  # least and greatest log2 of the filter's bits, at most 32 MB
 
 
@@ -109,6 +112,22 @@ def signatures(flat: np.ndarray, n: np.ndarray, band: np.ndarray) -> tuple[np.nd
     return mix(sums ^ mix(salt)), m
 
 
+ODD = [f"odd{k}" for k in range(PARITIES // 64)]
+
+
+def parities(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(sets, PARITIES / 64): bits that tell whether a bin's shingles are odd in number."""
+    bins = (mix(flat ^ U(0x2545F4914F6CDD1D)) >> U(64 - PARITIES.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(n)), n) * PARITIES + bins, minlength=len(n) * PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, PARITIES), axis=1).view(np.int64)
+
+
+def may_link():
+    """Whether two sets (n, odd0, ...; _n, _odd0, ...) can link: each shingle of one alone turns one bin, and a ninth of both sizes may be such."""
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in ODD), F.lit(0))
+    return (9 * apart <= F.col("n") + F.col("_n")) & (100 * F.least("n", "_n") >= 80 * F.greatest("n", "_n"))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, n, cid) of all documents."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -240,15 +259,16 @@ def bit_filter(values: DataFrame, column: str, count: int) -> np.ndarray:
 
 
 def candidate_sets(docs: DataFrame, needed: DataFrame, count: int) -> DataFrame:
-    """(cid, set) of the classes in needed (cid, rep), a few of them more than once, and few others."""
+    """(cid, n, set, odd0, odd1, ...) of the classes in needed (cid, rep), a few of them more than once, and few others."""
     rows, sets = chosen(docs, needed, count)
 
     def run(batches):
         for cid, flat, n in sets(batches):
-            cuts = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array([flat[b - a : b].tobytes() for a, b in zip(n.tolist(), cuts.tolist(), strict=True)], pa.binary())], ["cid", "set"])
+            cuts, odd = np.cumsum(n), parities(flat, n)
+            own = pa.array([flat[b - a : b].tobytes() for a, b in zip(n.tolist(), cuts.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n.astype(np.int64)), own, *(pa.array(odd[:, k]) for k in range(len(ODD)))], ["cid", "n", "set", *ODD])
 
-    return written(rows.mapInArrow(run, "cid long, set binary"))
+    return written(rows.mapInArrow(run, f"cid long, n long, set binary, {', '.join(f'{c} long' for c in ODD)}"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -310,7 +330,11 @@ def links(docs: DataFrame, all_sizes: DataFrame) -> DataFrame | None:
     probes = written(mine.where(F.col("_rank") <= need).select("sig", "cid", "n"))
     rows = written(rows.join(probes.select("sig").distinct(), "sig", "left_semi"), rows)  # no other bucket is looked into
 
-    edges = tried = sets = labels = None
+    wanted = written(rows.select("cid").distinct().join(reps.select("cid", "rep"), "cid"))  # every class that asks or is asked
+    sets = candidate_sets(docs, wanted, wanted.count())
+    traits = written(sets.select("cid", "n", *ODD).dropDuplicates(["cid"]), wanted)
+    theirs = traits.withColumnsRenamed({"cid": "other", "n": "_n"} | {c: f"_{c}" for c in ODD})
+    edges = tried = labels = None
     for turn in range(STARS + 1):
         if labels is None:
             members, asking = rows.withColumn("root", F.col("cid")), probes.withColumn("root", F.col("cid"))
@@ -328,18 +352,16 @@ def links(docs: DataFrame, all_sizes: DataFrame) -> DataFrame | None:
             draw = F.xxhash64("cid", F.lit(turn))
             stars = members.groupBy("sig").agg(F.min(F.struct(draw.alias("d"), "cid", "root")).alias("x"), F.max(F.struct(draw.alias("d"), "cid", "root")).alias("y"))
             stars = stars.select("sig", F.explode(F.array("x", "y")).alias("s")).select("sig", F.col("s.cid").alias("other"), F.col("s.root").alias("other_root"))
-            pairs = asking.join(stars, "sig").where("root <> other_root")
+            partner = stars.join(theirs, "other")
+            pairs = asking.drop("n").join(traits, "cid").join(partner, "sig").where("root <> other_root").where(may_link())
             done = False
         else:
-            partner = members.select("sig", F.col("cid").alias("other"), F.col("n").alias("_n"), F.col("root").alias("other_root"))
+            partner = members.select("sig", F.col("cid").alias("other"), F.col("root").alias("other_root")).join(theirs, "other")
             smaller = (F.col("_n") < F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("other") < F.col("cid")))
-            pairs = asking.join(partner, "sig").where(F.col("root") != F.col("other_root")).where(smaller).where("100 * _n >= 80 * n")
+            pairs = asking.drop("n").join(traits, "cid").join(partner, "sig").where(F.col("root") != F.col("other_root")).where(smaller).where(may_link())
             done = True
         pairs = pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if sets is None:  # every class that asks or is asked
-            wanted = written(rows.select("cid").distinct().join(reps.select("cid", "rep"), "cid"))
-            sets = candidate_sets(docs, wanted, wanted.count())
         found = written(verified(pairs, sets))
         tried = pairs if tried is None else tried.unionAll(pairs)
         if not found.isEmpty():
@@ -349,6 +371,7 @@ def links(docs: DataFrame, all_sizes: DataFrame) -> DataFrame | None:
             labels = components(found)
         if done:
             break
+    drop_written(sets, traits, rows, probes, reps, *([members_, asking_] if turn > 0 else []), *([] if tried is None else [tried]))
     return labels
 
 
