@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -68,3 +69,22 @@ def test_no_rows_and_one_class(spark):
     assert toxicity.train(docs, labels.where("toxic = 0")) is None
     assert toxicity.train(docs, labels.limit(0)) is None
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
+
+
+def test_the_driver_gets_the_model_and_no_text(spark, monkeypatch):
+    docs, labels = frames(spark)
+    docs = docs.where("doc_id < 40 and text like '%number%'")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = [i for i in sorted(rows) if zlib.crc32(str(i).encode()) % 4 != 2]
+    whole, driver = toxicity.fit, os.getpid()
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return whole(*args)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    model = toxicity.train(docs, labels)
+    y = np.array([int(i % 4 == 0) for i in ids])
+    held = np.array([r["h"] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").selectExpr("pmod(xxhash64(doc_id), 5) = 0 h").collect()])
+    want = whole([rows[i] for i in ids], y, np.ones(len(ids)), held)
+    assert np.array_equal(model.table, want.table) and np.array_equal(model.out, want.out)
