@@ -66,3 +66,19 @@ def test_sets_that_share_segments_but_cannot_link_are_not_verified(spark, monkey
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
     assert 5 <= sum(asked) <= 10
+
+
+def test_links_of_earlier_turns_are_not_gone_through_again(spark, monkeypatch):
+    asked, base = [], [f"w{k}" for k in range(90)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(base[: 6 * i] + [f"v{i}"] + base[6 * i + 1 :])) for i in range(1, 15)]  # each links with the first alone
+    whole = jaccard.components
+
+    def recorded(edges):
+        asked.append({(r["a"], r["b"]) for r in edges.collect()})
+        return whole(edges)
+
+    monkeypatch.setattr(jaccard, "components", recorded)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert len(asked) >= 2 and all(asked)
+    assert sum(map(len, asked)) == len(set().union(*asked))

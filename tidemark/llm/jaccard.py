@@ -12,7 +12,8 @@ with the fewest rows. A common passage therefore costs nothing to most documents
 
 Pairs of one bucket are never all formed at once: each class is first compared with
 two classes of each of its buckets, what links becomes one component, and only
-buckets that still hold several components are searched on, across components alone.
+buckets that still hold several components are searched on, across components alone;
+once that no longer halves the work, they are searched whole.
 A candidate is verified on the whole sets, unless the
 parities of their numbers of shingles in `PARITIES` bins show more shingles of one set
 alone than a link allows, a condition that all links meet. No class is left out by this, so the
@@ -125,7 +126,11 @@ def parities(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
 def may_link():
     """Whether two sets (n, odd0, ...; _n, _odd0, ...) can link: each shingle of one alone turns one bin, and a ninth of both sizes may be such."""
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in ODD), F.lit(0))
-    return (9 * apart <= F.col("n") + F.col("_n")) & (100 * F.least("n", "_n") >= 80 * F.greatest("n", "_n"))
+    return (9 * apart <= F.col("n") + F.col("_n")) & near_sizes()
+
+
+def near_sizes():
+    return 100 * F.least("n", "_n") >= 80 * F.greatest("n", "_n")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -316,7 +321,7 @@ def links(docs: DataFrame, all_sizes: DataFrame) -> DataFrame | None:
     if n_hits == 0:
         return None
     bits = spark.sparkContext.broadcast(bit_filter(hits, "sig", n_hits))
-    rows = written(members_of(texts, sets_, bits).distinct().join(hits, "sig"), hits)
+    rows = written(members_of(texts, sets_, bits).join(hits, "sig").distinct(), hits)  # one shuffle by sig serves both
     bits.unpersist()
     # Cost-based choice: a class needs floor(2n/9)+1 segments; those without company are free.
     top = int(rows.agg(F.max("n")).first()[0])
@@ -334,47 +339,64 @@ def links(docs: DataFrame, all_sizes: DataFrame) -> DataFrame | None:
     sets = candidate_sets(docs, wanted, wanted.count())
     traits = written(sets.select("cid", "n", *ODD).dropDuplicates(["cid"]), wanted)
     theirs = traits.withColumnsRenamed({"cid": "other", "n": "_n"} | {c: f"_{c}" for c in ODD})
-    edges = tried = labels = None
+    tried = labels = last = None
+    members, asking = (f.select("sig", "cid", "n", F.col("cid").alias("root")) for f in (rows, probes))
     for turn in range(STARS + 1):
-        if labels is None:
-            members, asking = rows.withColumn("root", F.col("cid")), probes.withColumn("root", F.col("cid"))
-        else:
-            root = F.coalesce("root", "cid").alias("root")
-            members = rows.join(labels, F.col("cid") == F.col("node"), "left").select("sig", "cid", "n", root)
-            asking = probes.join(labels, F.col("cid") == F.col("node"), "left").select("sig", "cid", "n", root)
+        if turn:
+            # Roots only merge: a bucket of one root is done with, and later turns read what is still open alone.
+            members = written(moved(members, merged), members)
             open_ = members.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("size")).where("_lo <> _hi").select("sig", "size")
-            spent = [members_, asking_] if turn > 1 else []
-            members_, asking_ = members, asking = written(members.join(open_.drop("size"), "sig", "left_semi")), written(asking.join(open_, "sig"), *spent)
+            open_ = written(open_)
+            members = written(members.join(open_.select("sig"), "sig", "left_semi"), members)
+            asking = written(moved(asking, merged).join(open_, "sig").select("sig", "cid", "n", "root", "size"), asking, open_)
             work = asking.agg(F.sum("size")).first()[0]
             if not work:
                 break
-        if labels is None or (turn < STARS and work > WORK * n_hits):
+        if not turn or (turn < STARS and work > WORK * n_hits and (last is None or 2 * work < last)):
             draw = F.xxhash64("cid", F.lit(turn))
-            stars = members.groupBy("sig").agg(F.min(F.struct(draw.alias("d"), "cid", "root")).alias("x"), F.max(F.struct(draw.alias("d"), "cid", "root")).alias("y"))
-            stars = stars.select("sig", F.explode(F.array("x", "y")).alias("s")).select("sig", F.col("s.cid").alias("other"), F.col("s.root").alias("other_root"))
-            partner = stars.join(theirs, "other")
-            pairs = asking.drop("n").join(traits, "cid").join(partner, "sig").where("root <> other_root").where(may_link())
+            stars = members.groupBy("sig").agg(*(pick(F.struct(draw.alias("d"), "cid", "n", "root")).alias(c) for c, pick in (("x", F.min), ("y", F.max))))
+            stars = stars.select("sig", F.explode(F.array("x", "y")).alias("s")).select("sig", F.col("s.cid").alias("other"), F.col("s.n").alias("_n"), F.col("s.root").alias("other_root"))
+            pairs = asking.join(stars, "sig").where("root <> other_root").where(near_sizes())
+            pairs = ordered(pairs).join(traits, F.col("a") == F.col("cid")).drop("cid").join(theirs, F.col("b") == F.col("other")).where(may_link())
             done = False
         else:
             partner = members.select("sig", F.col("cid").alias("other"), F.col("root").alias("other_root")).join(theirs, "other")
             smaller = (F.col("_n") < F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("other") < F.col("cid")))
-            pairs = asking.drop("n").join(traits, "cid").join(partner, "sig").where(F.col("root") != F.col("other_root")).where(smaller).where(may_link())
+            pairs = ordered(asking.drop("n").join(traits, "cid").join(partner, "sig").where(F.col("root") != F.col("other_root")).where(smaller).where(may_link()))
             done = True
-        pairs = pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+        last = work if turn else None
+        pairs = pairs.select("a", "b", "ra", "rb")
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = written(verified(pairs, sets))
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionAll(found)
-            labels = components(edges)
-        elif labels is None:
-            labels = components(found)
+        tried = pairs.select("a", "b") if tried is None else tried.unionAll(pairs.select("a", "b"))
+        found = verified(pairs, sets).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        merged = components(written(found))  # of roots: what earlier turns linked is not gone through again
+        labels = merged if labels is None else written(followed(labels, merged))
         if done:
             break
-    drop_written(sets, traits, rows, probes, reps, *([members_, asking_] if turn > 0 else []), *([] if tried is None else [tried]))
+    drop_written(sets, traits, rows, probes, reps, *([members, asking] if turn else []), tried)
     return labels
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b, ra, rb): each pair of classes once, the smaller first, and the roots of both."""
+    swap = F.col("cid") > F.col("other")
+    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return pairs.select(either("cid", "other").alias("a"), either("other", "cid").alias("b"), either("root", "other_root").alias("ra"), either("other_root", "root").alias("rb")).distinct()
+
+
+def moved(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """rows (sig, cid, n, root) with the roots that merged (node, root) gives."""
+    new = merged.where("node <> root").select("node", F.col("root").alias("_new"))
+    return rows.join(new, F.col("root") == F.col("node"), "left").select("sig", "cid", "n", F.coalesce("_new", "root").alias("root"))
+
+
+def followed(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node, root) after roots of labels, and nodes not in it, have merged."""
+    new = merged.select(F.col("node").alias("_old"), F.col("root").alias("_new"))
+    old = labels.join(new, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root"))
+    return old.unionAll(merged.join(labels, "node", "left_anti").select("node", "root"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all documents."""
     all_sizes = written(sizes(docs))
