@@ -50,3 +50,29 @@ def test_the_query_s_rows(spark):
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert bpe.digest_documents(frame.limit(0), path).count() == 0
+
+
+def test_short_pieces_take_no_linked_leaves(monkeypatch):
+    """A piece of one node is merged in it: no tree is built, whatever the piece."""
+    own = bpe.Encoder(bpe.load(byte_bpe_path()))
+    monkeypatch.setattr(own, "merge_tree", None, raising=True)
+    rng = random.Random(4)
+    for n in range(bpe.FAN + 2):
+        for _ in range(200):
+            piece = bytes(rng.choice(b"etaoin shrdlu\xc3\xa9") for _ in range(n))
+            assert own.merge(piece) == plain(own, piece)
+
+
+def test_a_piece_is_spelt_once_and_runs_of_spaces_keep_their_place():
+    path = byte_bpe_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    own = bpe.Encoder(bpe.load(path))
+    assert own.chunk(" again") is own.piece(" again")
+    rng = random.Random(6)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "The", "é", " ", "  ", "\n", "\t", "　", "1", "!", "'s", "<|endoftext|>"]) for _ in range(rng.randrange(40)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == ids
+        assert own.digest(text)[0] == len(ids)

@@ -4,7 +4,8 @@ Each piece of a text (split as GPT-2's byte-level pre-tokeniser does) is merged
 with a segment tree over the ranks of its adjacent pairs, `FAN` children a node. A leaf
 holds rank and position, rank first, so the root yields the leftmost pair of the lowest
 rank; a merge changes at most three leaves, each carried up in logarithmic time,
-until the root holds no rank. Results of pieces and of space-free chunks are
+until the root holds no rank. A piece whose leaves fit one node is merged in that node,
+which shrinks with each merge. Results of pieces and of space-free chunks are
 remembered in caches bounded in entries and in the length of each, some 100 MB a
 worker, which changes the time only.
 
@@ -36,6 +37,7 @@ PIECES = 50_000
 LONG = 64  # longer chunks are not remembered
 FAN = 16  # children of a node of the tree
 NONE = 1 << 40  # above every rank
+NOTHING = ("", b"")  # the result of a word that another chunk holds
 
 #: Unicode's White_Space property, spelt out so that no library's \s is relied on.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -77,6 +79,7 @@ class Encoder:
 
     def __init__(self, model: dict):
         self.vocab, self.first, self.special = model["vocab"], model["first"], model["special"]
+        self.said = {i: f",{i}" for i in self.vocab}
         self.rank = {(a << 20) | b: r for r, (a, b, _) in enumerate(model["merges"])}
         self.into = [c for _, _, c in model["merges"]]
         self.begin = [self.rank.get((a << 20) | b, NONE) for a in self.first for b in self.first]  # by pair of bytes
@@ -91,6 +94,28 @@ class Encoder:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece; the tree's root yields the leftmost lowest pair until none is left."""
+        return self.merge_node(piece) if len(piece) <= FAN + 1 else self.merge_tree(piece)
+
+    def merge_node(self, piece: bytes) -> list[int]:
+        """The same where the root is the only node: its leaves hold ranks alone, and a merged pair's leaf goes."""
+        first, begin, rank, into = self.first, self.begin, self.rank.get, self.into
+        ids = [first[b] for b in piece]
+        leaves = [begin[a << 8 | b] for a, b in pairwise(piece)]
+        low = min(leaves, default=NONE)
+        while low < NONE:
+            i = leaves.index(low)
+            ids[i] = merged = into[low]
+            del leaves[i], ids[i + 1]
+            if not leaves:
+                break
+            if i < len(leaves):
+                leaves[i] = rank(merged << 20 | ids[i + 1], NONE)
+            if i:
+                leaves[i - 1] = rank(ids[i - 1] << 20 | merged, NONE)
+            low = min(leaves)
+        return ids
+
+    def merge_tree(self, piece: bytes) -> list[int]:
         first, begin, n = self.first, self.begin, len(piece)
         ids = [first[b] for b in piece]
         shift = n.bit_length()
@@ -131,23 +156,26 @@ class Encoder:
             low = min(root)
         return [i for i in ids if i >= 0]
 
-    def piece(self, piece: str) -> list[int]:
-        if (ids := self.pieces.get(piece)) is None:
-            if (ids := self.old_pieces.get(piece)) is None:
+    def piece(self, piece: str) -> tuple[str, bytes]:
+        """Ids as ',1,2' of one piece, and the bytes they decode to."""
+        if (found := self.pieces.get(piece)) is None:
+            if (found := self.old_pieces.get(piece)) is None:
                 ids = self.merge(piece.encode())
+                said, vocab = self.said, self.vocab
+                found = "".join([said[i] for i in ids]), b"".join([vocab[i] for i in ids])
             if len(piece) <= LONG:
                 if len(self.pieces) >= PIECES:
                     self.old_pieces, self.pieces = self.pieces, {}
-                self.pieces[piece] = ids
-        return ids
+                self.pieces[piece] = found
+        return found
 
-    def chunk(self, chunk: str) -> tuple[str, int, bytes]:
-        """Ids as ',1,2', their number and the bytes they decode to, of a chunk cut at safe places."""
-        ids: list[int] = []
-        for piece in self.find(chunk):
-            ids += self.piece(piece)
-        vocab = self.vocab
-        return "," + ",".join(map(str, ids)) if ids else "", len(ids), b"".join([vocab[i] for i in ids])
+    def chunk(self, chunk: str) -> tuple[str, bytes]:
+        """The same of a chunk cut at safe places."""
+        pieces = self.find(chunk)
+        if len(pieces) == 1:
+            return self.piece(pieces[0])
+        found = [self.piece(p) for p in pieces]
+        return "".join([p[0] for p in found]), b"".join([p[1] for p in found])
 
     def part(self, text: str, out: list) -> None:
         """Appends the chunks of a text without special tokens.
@@ -164,39 +192,44 @@ class Encoder:
             begun += 1
         if held:
             out.append(self.chunk(held))
-        chunks, add = self.chunks, out.append
-        i, n = begun, len(words)
-        while i < n:
-            word = words[i]
-            i += 1
-            if (found := chunks.get(word)) is not None:
-                add(found)
-                continue
-            if not word or word[-1] in spaces:
-                held = [word]
-                while i < n:
-                    word = words[i]
-                    held.append(word)
-                    i += 1
-                    if word and word[-1] not in spaces:
-                        break
-                add(self.chunk(" " + " ".join(held)))
-                continue
-            if (found := self.old_chunks.get(word)) is None:
-                found = self.chunk(" " + word)
-            if len(word) <= LONG:
-                if len(chunks) >= CHUNKS:
-                    self.old_chunks, self.chunks = chunks, {}
-                    chunks = self.chunks
-                chunks[word] = found
-            add(found)
-
-    def parts(self, text: str) -> list[tuple[str, int, bytes]]:
+        del words[:begun]
+        chunks = self.chunks
+        found = list(map(chunks.get, words))  # words that end a run of spaces are never kept there
+        i, n = 0, len(words)
+        try:
+            while True:
+                i = found.index(None, i)
+                word = words[i]
+                if not word or word[-1] in spaces:
+                    at, held = i, [word]
+                    while i + 1 < n:
+                        i += 1
+                        word = words[i]
+                        held.append(word)
+                        found[i] = NOTHING
+                        if word and word[-1] not in spaces:
+                            break
+                    found[at] = self.chunk(" " + " ".join(held))
+                    continue
+                if (own := chunks.get(word)) is None:
+                    if (own := self.old_chunks.get(word)) is None:
+                        own = self.chunk(" " + word)
+                    if len(word) <= LONG:
+                        if len(chunks) >= CHUNKS:
+                            self.old_chunks, self.chunks = chunks, {}
+                            chunks = self.chunks
+                        chunks[word] = own
+                found[i] = own
+        except ValueError:  # none is left
+            pass
+        out += found
+
+    def parts(self, text: str) -> list[tuple[str, bytes]]:
         out: list = []
         for k, part in enumerate(self.split(text) if self.split else [text]):
             if k % 2:
                 i = self.special[part]
-                out.append((f",{i}", 1, self.vocab[i]))
+                out.append((self.said[i], self.vocab[i]))
             elif part:
                 self.part(part, out)
         return out
@@ -213,13 +246,13 @@ class Encoder:
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids joined by commas, sha256 of the decoded text."""
         parts = self.parts(text or "")
-        ids = "".join([p[0] for p in parts])[1:]
-        decoded = b"".join([p[2] for p in parts])
+        ids = "".join([p[0] for p in parts])
+        decoded = b"".join([p[1] for p in parts])
         try:
             decoded.decode("utf-8")
         except UnicodeDecodeError:
             decoded = decoded.decode("utf-8", errors="replace").encode()
-        return sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return ids.count(","), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def digest_of(path: str) -> str:
