@@ -1,36 +1,43 @@
-"""The corpus pipeline: five stages, each on all that the one before it kept."""
+"""The corpus pipeline: five stages, each on all that the one before it kept.
+
+Each begins with executors that have given back the memory of the stage before."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontaminate, jaccard, lines, toxicity
-from tidemark.llm.common import table, written
+from tidemark.llm.common import settle, table, written
 from tidemark.llm.queries import byte_bpe_path
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    settle(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines near or equal to an earlier line go, and documents that lose all their words."""
+    settle(spark)
     return lines.deduplicated(docs, shortest=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    settle(spark)
     return jaccard.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    settle(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
+    settle(spark)
     return bpe.digest_documents(docs, byte_bpe_path())
 
 

@@ -63,3 +63,12 @@ def test_stages_equal_brute_force(spark):
             want = {i: t for i, t in texts.items() if not decontaminate.leaks_of(index, [t], tokens)}
         assert rows_of(out) == want, name
         docs, texts = out, want
+
+
+def test_each_stage_begins_with_the_memory_of_the_one_before_given_back(spark, monkeypatch):
+    docs = table(spark, SF, "documents").limit(3)
+    begun = []
+    monkeypatch.setattr(corpus_pipeline, "settle", begun.append)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        stage(spark, docs, SF)
+        assert len(begun) == n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import os
 import tempfile
@@ -72,13 +74,32 @@ def drop_written(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files and broadcasts whose plans are no longer referenced."""
-    import gc
-
     for _ in range(2):  # what the first pass frees refers to plans too
         gc.collect()
         spark.sparkContext._jvm.System.gc()
 
 
+def settle(spark: SparkSession) -> None:
+    """Executors give back what earlier work has left them: heap beyond the live objects, and what Python workers hold free.
+
+    An executor's heap grows with what a stage throws away and stays so large for the next one,
+    beside whose Python workers there may be no room for it. One small task a core; all cores should be idle.
+    """
+    release(spark)
+    cores = spark.sparkContext.defaultParallelism
+    heap = F.java_method(F.lit("java.lang.System"), F.lit("gc"))  # a full collection shrinks the heap
+    spark.range(0, cores, 1, cores).mapInArrow(trimmed, "id long").select(heap.alias("done")).agg(F.max("done")).collect()
+
+
+def trimmed(batches):
+    """The batches; the worker's free memory goes back to the system, where its allocators can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+    yield from batches
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has, in any case of letters."""
     taken = {c.lower() for f in frames for c in f.columns}
