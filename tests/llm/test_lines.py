@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidemark.llm import lines
 
 
@@ -135,3 +137,20 @@ def test_texts_of_lines_leave_the_shared_folder(spark, tmp_path, monkeypatch):
     got = {r["doc_id"]: r["text"] for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
     assert [set(spark.read.parquet(str(p)).columns) for p in tmp_path.iterdir()] == [{"id", "places"}]
+
+
+def test_the_powers_of_a_layout_are_kept_and_right():
+    long_, short = lines.Text(["an older, longer line \U0001f600"] * 50), lines.Text(["some line"])
+    assert lines.powers(lines.BASE, 9) is lines.powers(lines.BASE, 5)
+    assert lines.powers(lines.BASE, 9)[:10].tolist() == [pow(lines.BASE, k, 1 << 64) for k in range(10)]
+    whole = lines.Text(["x" * 900, "some line \U0001f600", "some line"])
+    assert short.hashes(np.array([0]), np.array([9])) == whole.hashes(np.array([900]), np.array([9])) == whole.hashes(np.array([911]), np.array([9]))
+    assert long_.hashes(np.array([22]), np.array([1])) == whole.hashes(np.array([910]), np.array([1]))
+
+
+def test_a_filter_of_two_bits_holds_all_of_its_own_and_few_others(spark):
+    some = lines.mix(np.arange(40_000, dtype=np.uint64))
+    bits = lines.two_bits(spark.createDataFrame([(int(v),) for v in some.view(np.int64)], "sig long"), len(some))
+    assert lines.held(bits, some).all()
+    others = lines.mix(np.arange(10**6, 2 * 10**6, dtype=np.uint64))
+    assert lines.held(bits, others).mean() < 0.005 < lines.contains(bits, others).mean()

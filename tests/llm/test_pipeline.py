@@ -6,7 +6,7 @@ from test_lines import distance
 
 import corpus_pipeline
 from tidemark.llm import decontaminate, lines, toxicity
-from tidemark.llm.common import table, written
+from tidemark.llm.common import settle, table, written
 from tidemark.llm.queries import byte_bpe_path
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,15 @@ def test_each_stage_begins_with_the_memory_of_the_one_before_given_back(spark, m
     for n, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
         stage(spark, docs, SF)
         assert len(begun) == n
+
+
+def test_settling_shrinks_the_heap(spark):
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    held = [gateway.new_array(jvm.long, 25_000_000) for _ in range(6)]
+    before = jvm.Runtime.getRuntime().totalMemory()
+    assert before > 1_200_000_000
+    for array in held:
+        gateway.detach(array)
+    del held
+    settle(spark)
+    assert jvm.Runtime.getRuntime().totalMemory() < before - 500_000_000

@@ -50,6 +50,7 @@ GRAM = 4  # characters of a q-gram
 PARITIES = 256  # bins of pairs of characters
 COUNTERS = 1 << 20  # of q-grams by hash, whatever the input
 BASE = 0x9E3779B97F4A7C15
+HALF = U(32)
 
 
 def within(a: str, b: str, edits: int = EDITS) -> bool:
@@ -116,17 +117,34 @@ def pieces(lengths: np.ndarray, edits: int = EDITS):
         at = at + size
 
 
+POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** n at least; the worker keeps those of its longest layout so far of at most 2 ** 21 characters."""
+    kept = POWERS.get(base)
+    if kept is None or len(kept) <= n:
+        kept = np.cumprod(np.concatenate([[U(1)], np.full(n, U(base))]))
+        if n <= 1 << 21:
+            POWERS[base] = kept
+    return kept
+
+
+MIXED = mix(np.arange(1 << 16, dtype=U) + U(1))  # of the characters of the basic plane
+
+
 class Text:
     """Lines laid out one after another, with hashes of all their substrings at hand."""
 
     def __init__(self, lines: list[str]):
         self.length = np.fromiter(map(len, lines), np.int64, len(lines))
         self.start = np.cumsum(self.length) - self.length
-        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(U)
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
         n = len(codes)
-        powers = np.cumprod(np.concatenate([[U(1)], np.full(n, U(BASE))]))
-        self.back = np.cumprod(np.concatenate([[U(1)], np.full(n, U(pow(BASE, -1, 1 << 64)))]))
-        self.sums = np.concatenate([[U(0)], np.cumsum(mix(codes + U(1)) * powers[:n])])
+        self.back = powers(pow(BASE, -1, 1 << 64), n)
+        mixed = MIXED[codes] if not n or codes.max() < len(MIXED) else mix(codes.astype(U) + U(1))
+        self.sums = np.zeros(n + 1, U)
+        np.cumsum(mixed * powers(BASE, n)[:n], out=self.sums[1:])
 
     def hashes(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Of the substrings of `size` characters from each place of the layout."""
@@ -200,6 +218,20 @@ def occurrences(docs: DataFrame, text: bool, shortest: int) -> DataFrame:
     return rows.select("o", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *([F.col("line")] if text else []))
 
 
+def two_bits(values: DataFrame, count: int) -> np.ndarray:
+    """Filter of signatures (sig) by two bits each, at the leading bits of both halves; see `held`."""
+    turned = F.shiftleft("sig", 32).bitwiseOR(F.shiftrightunsigned("sig", 32))
+    return bit_filter(values.select(F.explode(F.array("sig", turned)).alias("sig")), "sig", count)
+
+
+def held(bits: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Whether each signature passes a filter of two bits; all those in it do."""
+    keep = contains(bits, sig)
+    some = np.flatnonzero(keep)
+    keep[some] = contains(bits, sig[some] << HALF | sig[some] >> HALF)
+    return keep
+
+
 def near(lines: DataFrame) -> DataFrame:
     """(lid) of the distinct lines (lid, o, line) that are near an earlier one; lines: a written table."""
     spark = lines.sparkSession
@@ -226,7 +258,7 @@ def near(lines: DataFrame) -> DataFrame:
     sizes = written(lines.select("line").mapInArrow(sigs, "sig long").groupBy("sig").agg((F.count("*") > 1).alias("shared")))
     # Another line's segment may be any of the index; a line's own counts only where another has it too.
     n, n_shared = sizes.agg(F.count("*"), F.count_if("shared")).first()
-    known = spark.sparkContext.broadcast((bit_filter(sizes, "sig", n), bit_filter(sizes.where("shared"), "sig", n_shared)))
+    known = spark.sparkContext.broadcast((bit_filter(sizes, "sig", n), two_bits(sizes.where("shared"), n_shared)))
     drop_written(sizes)
 
     def probe_rows(batches):
@@ -235,7 +267,7 @@ def near(lines: DataFrame) -> DataFrame:
             for start, own in parts_of(batch, 2):
                 found = []
                 for line, sig, mine in Text(own).asked():
-                    keep = contains(company if mine else any_, sig)
+                    keep = held(company, sig) if mine else contains(any_, sig)
                     found.append((line[keep] + start, sig[keep]))
                 line, sig = (np.concatenate(x) for x in zip(*found, strict=True))
                 at = pa.array(line)
@@ -244,13 +276,13 @@ def near(lines: DataFrame) -> DataFrame:
     asks = written(rows.mapInArrow(probe_rows, schema))
     known.unpersist()
     asked = asks.select("sig").distinct()
-    wanted = spark.sparkContext.broadcast(bit_filter(asked, "sig", asks.count()))
+    wanted = spark.sparkContext.broadcast(two_bits(asked, asks.count()))
 
     def index_rows(batches):
         for batch in batches:
             for start, own in parts_of(batch, 2):
                 for line, sig in Text(own).index():
-                    keep = contains(wanted.value, sig)
+                    keep = held(wanted.value, sig)
                     at = pa.array(line[keep] + start)
                     yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["sig", "lid", "o"])
 
